@@ -29,7 +29,7 @@ from .url_filter import bloom_filter, may_contain
 
 BUCKETS = 1 << 14
 #: Least mean weight of a kept document.
-THRESHOLD = -0.25
+THRESHOLD = -0.08
 MIN_WORDS = 50
 #: Percent of words in repeated windows above which a document fails.
 MAX_REPEATED = 50
