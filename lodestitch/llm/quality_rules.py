@@ -41,23 +41,25 @@ SYMBOLS = "#*$%&|<>"
 
 
 def worded(docs: DataFrame) -> DataFrame:
-    """Adds __text (never null), __flat (words parted by one space), __words and __hashes; `docs` keeps its columns."""
-    text = F.coalesce("text", F.lit(""))
-    flat = docs.withColumn("__text", text).withColumn("__flat", F.trim(F.regexp_replace("__text", SPACE, " ")))
-    words = flat.withColumn("__words", F.when(F.col("__flat") == "", F.array().cast("array<string>")).otherwise(F.split("__flat", " ")))
-    return words.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
+    """Adds __text (never null), __words and __hashes; `docs` keeps its columns."""
+    rows = docs.withColumn("__text", F.coalesce("text", F.lit("")))
+    flat = F.btrim("__text", F.lit(" \t\n\x0b\x0c\r"))
+    rows = rows.withColumn("__words", F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, SPACE)))
+    return rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
 
 
-def ngrams(hashes: Column, buckets: int) -> Column:
-    """Buckets of all unigrams and bigrams."""
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    two = F.transform(F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda h, i: F.pmod(F.xxhash64(F.get(hashes, i), h), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
+def ngrams(hashes: Column) -> Column:
+    """Hashes of all unigrams and bigrams; the first word pairs with nothing."""
+    return F.concat(hashes, F.transform(hashes, lambda h, i: F.xxhash64(F.get(hashes, i - 1), h)))
+
+
+def bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
 def _counted(docs: DataFrame, buckets: int) -> DataFrame:
-    grams = worded(docs).select(F.explode(ngrams(F.col("__hashes"), buckets)).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    grams = worded(docs).select(F.explode(ngrams(F.col("__hashes"))).alias("gram"))
+    return grams.groupBy(bucket(F.col("gram"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -79,17 +81,16 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Data
 def measures(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (and __ columns)."""
     rows = worded(docs).withColumn("n_words", F.size("__words").cast("bigint"))
-    flat, hashes, n = F.col("__flat"), F.col("__hashes"), F.col("n_words")
+    hashes, n = F.col("__hashes"), F.col("n_words")
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("__lines", lines)
-    # a window's hash gives its upper bits, its place the lower ones: sorted, equal windows are neighbours
-    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(n)).cast("int")) - 1
-    rows = rows.withColumn("__low", low)
-    packed = F.transform(
-        F.slice(hashes, WINDOW, F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0))),
-        lambda h, i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), h).bitwiseAND(F.bitwise_not(F.col("__low"))).bitwiseOR(i.cast("bigint")),
-    )
-    rows = rows.withColumn("__sorted", F.sort_array(packed))
+    windows = F.transform(F.slice(hashes, WINDOW, F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0))), lambda h, i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), h))
+    rows = rows.withColumn("__windows", windows)
+    # Most texts repeat no window and end here. In the others a window's hash gives its upper bits and its place the lower ones: sorted, equal windows are neighbours.
+    some = F.size(F.array_distinct("__windows")) < F.size("__windows")
+    rows = rows.withColumn("__low", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(n)).cast("int")) - 1)
+    packed = F.transform("__windows", lambda h, i: h.bitwiseAND(F.bitwise_not(F.col("__low"))).bitwiseOR(i.cast("bigint")))
+    rows = rows.withColumn("__sorted", F.when(some, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
     words, low, own = F.col("__words"), F.col("__low"), F.col("__sorted")
 
     def same(x: Column, y: Column) -> Column:
@@ -105,8 +106,8 @@ def measures(docs: DataFrame) -> DataFrame:
     at = F.col("__at")
     covered = F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(WINDOW).cast("bigint"), F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW).cast("bigint")))), F.lit(0).cast("bigint"), lambda a, x: a + x)
     rows = (
-        rows.withColumn("word_chars", F.when(n == 0, 0).otherwise(F.length(flat) - n + 1).cast("bigint"))
-        .withColumn("n_symbols", (F.length(flat) - F.length(F.translate(flat, SYMBOLS, ""))).cast("bigint"))
+        rows.withColumn("word_chars", F.length(F.array_join("__words", "")).cast("bigint"))
+        .withColumn("n_symbols", F.length(F.regexp_replace("__text", f"[^{SYMBOLS}]+", "")).cast("bigint"))
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"))
         .withColumn("n_repeat_words", covered)
     )
@@ -118,9 +119,9 @@ def judge(docs: DataFrame, weighed: DataFrame, threshold: float = THRESHOLD, buc
     # one constant array of fixed size: a lambda may hold a constant, not a subquery
     found = dict(weighed.collect())
     table = F.from_json(F.lit(json.dumps([found[b] for b in range(buckets)])), "array<double>")
-    rows = measures(docs).withColumn("__grams", ngrams(F.col("__hashes"), buckets))
-    total = F.aggregate("__grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    rows = rows.withColumn("llr", total / F.greatest(F.size("__grams"), F.lit(1)))
+    rows = measures(docs)
+    total = F.aggregate(ngrams(F.col("__hashes")), F.lit(0.0), lambda a, g: a + F.get(table, bucket(g, buckets)))
+    rows = rows.withColumn("llr", total / F.greatest(2 * F.size("__hashes"), F.lit(1)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
