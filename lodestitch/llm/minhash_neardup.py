@@ -15,7 +15,10 @@ are not yet known to be connected are looked for:
    comparison per node.
 2. What is left are bands that still hold several components. There, all pairs of different
    components meet in square cells of bounded size (a large band takes many cells, spread over
-   tasks), are held against their odd sketches, and survivors against their full sets.
+   tasks) and are held against their odd sketches; a pair counts in the first band it shares.
+   What leaves a cell are the nodes with a close partner, not the pairs. These nodes meet in the
+   same cells once more with their full sets, and each cell emits a spanning set of its links: a
+   pair that the cell has connected already is not compared.
 
 No pair of a band is dropped; a pair at the threshold itself shares no band in one of 190,000
 cases ((1 - 0.75^4)^32). The sketch's bound lies 4 standard deviations below the threshold.
@@ -162,34 +165,65 @@ def links(docs: DataFrame, sig: DataFrame, percent: int, words: int) -> DataFram
     roots = stored(components(first, "binary"))
     named = members.join(roots, "node", "left").select("band", "node", "doc", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
-    sketches = sig.where("node is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    left = named.join(mixed, "band").join(sketches, "node")
+    sketches = sig.where("node is not null").groupBy("node").agg(F.first(F.struct("sketch", "bands")).alias("s"))
+    left = named.join(mixed, "band").join(sketches, "node").select("band", "node", "root", F.col("doc.doc_id").alias("doc_id"), F.col("doc.n_shingles").alias("n"), "s.sketch", "s.bands")
     dealt = cells(left, ["band"], F.xxhash64("node"), BLOCK)
-    found = close_pairs(dealt, percent, most_different_bits(percent / 100))
-    found = found.groupBy("u", "v").agg(F.min("du").alias("du"), F.min("dv").alias("dv"))
-    tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    found = stored(found.join(tried, ["u", "v"], "left_anti"))
-    return first.unionByName(verified(docs, found, percent, words))
-
-
-def close_pairs(dealt: DataFrame, percent: int, bits: int) -> DataFrame:
-    """(u, v, du, dv) of every pair in a cell that lies in different components, whose sizes allow the
-    threshold and whose odd sketches differ in at most `bits` bits."""
-    key = ["band", "cell_i", "cell_j"]
-
-    def one(own: pd.DataFrame, out: list) -> None:
-        n = len(own)
-        sketch = np.frombuffer(b"".join(own["sketch"]), np.uint64).reshape(n, BITS // 64)
-        size, root = own["n"].to_numpy(np.int64), pd.factorize(own["root"])[0]
-        block, crossed = own["block"].to_numpy(), own["cell_i"].iat[0] != own["cell_j"].iat[0]
-        for a in range(n - 1):
-            rest = slice(a + 1, n)
-            ok = (root[rest] != root[a]) & (np.minimum(size[rest], size[a]) * 100 >= np.maximum(size[rest], size[a]) * percent)
-            if crossed:
-                ok &= block[rest] != block[a]
-            at = np.flatnonzero(ok) + a + 1
-            if len(at):
-                out.extend((a, b) for b in at[np.bitwise_count(sketch[at] ^ sketch[a]).sum(axis=1) <= bits].tolist())
+    close = stored(in_cells(dealt, percent, most_different_bits(percent / 100), False))
+    sets = node_sets(docs, close.select("doc_id"), words)
+    return first.unionByName(in_cells(close.join(sets, "node"), percent, most_different_bits(percent / 100), True))
+
+
+CELL = ["band", "cell_i", "cell_j"]
+NODE = "band long, cell_i int, cell_j int, block int, node binary, root binary, doc_id string, n long, sketch binary, bands array<long>"
+
+
+def close_pairs(cell: pd.DataFrame, percent: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(a, [b, ...]) for the rows of a cell: pairs of different components whose first shared band is the
+    cell's, whose sizes allow the threshold and whose odd sketches differ in at most `bits` bits."""
+    n, band = len(cell), cell["band"].iat[0]
+    sketch = np.frombuffer(b"".join(cell["sketch"]), np.uint64).reshape(n, BITS // 64)
+    bands, size, root = np.stack(cell["bands"].to_numpy()), cell["n"].to_numpy(np.int64), pd.factorize(cell["root"])[0]
+    block, crossed = cell["block"].to_numpy(), cell["cell_i"].iat[0] != cell["cell_j"].iat[0]
+    for a in range(n - 1):
+        rest = slice(a + 1, n)
+        ok = (root[rest] != root[a]) & (np.minimum(size[rest], size[a]) * 100 >= np.maximum(size[rest], size[a]) * percent)
+        if crossed:
+            ok &= block[rest] != block[a]
+        at = np.flatnonzero(ok) + a + 1
+        at = at[np.bitwise_count(sketch[at] ^ sketch[a]).sum(axis=1) <= bits]
+        at = at[bands[a][(bands[at] == bands[a]).argmax(axis=1)] == band]
+        if len(at):
+            yield a, at
+
+
+def cell_links(cell: pd.DataFrame, percent: int, bits: int) -> list[tuple[int, int]]:
+    """Verified links of a cell, a spanning set: pairs that it has connected before are passed over."""
+    parent = list(range(len(cell)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    first: dict[bytes, int] = {}
+    for k, root in enumerate(cell["root"]):
+        parent[k] = first.setdefault(root, k)
+    sets = [set(np.frombuffer(x, np.uint64).tolist()) for x in cell["own"]]
+    out = []
+    for a, others in close_pairs(cell, percent, bits):
+        for b in others.tolist():
+            x, y = top(a), top(b)
+            if x != y:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    parent[y] = x
+                    out.append((a, b))
+    return out
+
+
+def in_cells(dealt: DataFrame, percent: int, bits: int, exact: bool) -> DataFrame:
+    """Without `exact` the rows that have a close partner in their cell; with it (and the column own) links (u, v)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -197,57 +231,66 @@ def close_pairs(dealt: DataFrame, percent: int, bits: int) -> DataFrame:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             held = None
             if len(pdf):
-                yield from flush(pdf, False)
-                held = tail[0]
-        if held is not None and len(held):
-            yield from flush(held, True)
-
-    tail: list = [None]
-
-    def flush(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
-        same = (pdf[key].to_numpy()[1:] == pdf[key].to_numpy()[:-1]).all(axis=1)
-        edges = [0, *(np.flatnonzero(~same) + 1).tolist(), len(pdf)]
-        stop = len(edges) - 1 if last else len(edges) - 2  # the last cell may go on in the next batch
-        tail[0] = pdf.iloc[edges[stop] :] if not last else None
-        nodes, docs, got = pdf["node"].to_numpy(), pdf["doc_id"].to_numpy(), []
-        for k in range(stop):
-            if edges[k + 1] - edges[k] > 1:
-                out: list = []
-                one(pdf.iloc[edges[k] : edges[k + 1]], out)
-                got.extend((edges[k] + a, edges[k] + b) for a, b in out)
-        if got:
-            a, b = np.array(got).T
-            swap = np.fromiter((nodes[x] > nodes[y] for x, y in got), bool, len(got))
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield pd.DataFrame({"u": nodes[a], "v": nodes[b], "du": docs[a], "dv": docs[b]})
-
-    rows = dealt.select(*key, "block", "node", "root", "sketch", F.col("doc.n_shingles").alias("n"), F.col("doc.doc_id").cast("string").alias("doc_id"))
-    rows = rows.repartition(*key).sortWithinPartitions(*key)
-    out = rows.mapInPandas(run, "u binary, v binary, du string, dv string")
-    return out.select("u", "v", F.col("du").cast("bigint").alias("du"), F.col("dv").cast("bigint").alias("dv"))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (u, v, du, dv) whose full sets reach the threshold, as (u, v).
-
-    du and dv are ids of documents with the sets u and v. Only texts of those ids are read again:
-    a blocked Bloom filter of fixed size drops most others in the scan, an exact semi-join the rest.
+                edges = edges_of(pdf)
+                for lo, hi in zip(edges[:-2], edges[1:-1]):  # the last cell may go on in the next batch
+                    yield from one(pdf.iloc[lo:hi])
+                held = pdf.iloc[edges[-2] :]
+        if held is not None:
+            yield from one(held)
+
+    def edges_of(pdf: pd.DataFrame) -> list[int]:
+        marks = pdf[CELL].to_numpy()
+        return [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+
+    def one(cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if len(cell) < 2:
+            return
+        if exact:
+            node = cell["node"].to_numpy()
+            pairs = [sorted((node[a], node[b])) for a, b in cell_links(cell, percent, bits)]
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["u", "v"])
+        else:
+            close = sorted({x for a, others in close_pairs(cell, percent, bits) for x in (a, *others.tolist())})
+            if close:
+                yield cell.iloc[close]
+
+    columns = [c.split()[0] for c in NODE.split(", ")]
+    rows = dealt.withColumn("doc_id", F.col("doc_id").cast("string")).select(*columns, *(["own"] if exact else []))
+    rows = rows.repartition(*CELL).sortWithinPartitions(*CELL)
+    if exact:
+        return rows.mapInPandas(run, "u binary, v binary")
+    return rows.mapInPandas(run, NODE).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def _key(doc_id: Column) -> Column:
+    """A null id is an id of its own where texts are found by id."""
+    return F.coalesce(doc_id, F.lit(-(1 << 63)))
+
+
+def node_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(node, own): the full sets of documents with these ids (doc_id), each node once.
+
+    Only their texts are read again: a blocked Bloom filter of fixed size drops most others in the
+    scan, an exact semi-join the rest.
     """
     from .url_filter import bloom_filter, may_contain
 
-    ids = pairs.select(F.explode(F.array("du", "dv")).alias("id"), F.lit(1)).distinct()
-    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))  # noqa: E731  a null id is an id of its own here
-    ids = stored(ids.select(key(F.col("id")).alias("id")))
+    ids = stored(ids.select(_key(F.col("doc_id")).alias("id")).distinct())
     hits = may_contain(bloom_filter(ids, F.col("id"), FILTER_WORDS), F.col("id"), FILTER_WORDS)
-    texts = docs.select(key(F.col("doc_id").cast("bigint")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).where(hits).join(ids, "id", "left_semi")
+    texts = docs.select(_key(F.col("doc_id").cast("bigint")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).where(hits).join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(t, words) for t in pdf["text"]]
             yield pd.DataFrame({"node": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "own": [s.tobytes() for s in sets]})
 
-    sets = texts.select("text").mapInPandas(run, "node binary, own binary").groupBy("node").agg(F.first("own").alias("own"))
-    sets = stored(sets)
+    return stored(texts.select("text").mapInPandas(run, "node binary, own binary").groupBy("node").agg(F.first("own").alias("own")))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs (u, v, du, dv) whose full sets reach the threshold, as (u, v); du and dv are ids of documents with these sets."""
+    sets = node_sets(docs, pairs.select(F.explode(F.array("du", "dv")).alias("doc_id")), words)
     a, b = (sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "uv")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
