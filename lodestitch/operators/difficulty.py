@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import bucket_name, is_legal_variant, jaccard, overlap_bucket, script_class, word_set
+from ..schema import PACK
 from .retrieve import token_neighbours
 
 #: Kinds in the order in which they are filled, and the bounds that define them.
@@ -68,18 +69,19 @@ def eligible(records: DataFrame, truth: DataFrame) -> DataFrame:
 def pack(rows: DataFrame, per_kind: int = PER_KIND) -> DataFrame:
     """(source1_entity_id, related_entity_ids, kind, overlap_bucket, reason): kinds are filled in order, each query used once.
 
-    A kind takes its `per_kind` first queries not used by kinds before it: eleven steps of a top-n
-    and an anti-join against at most a few hundred rows.
+    A kind takes its `per_kind` first queries not used by kinds before it: eleven steps, each a top-n
+    on the cluster that gives the driver `per_kind` rows at most.
     """
-    out = None
+    used: list[str] = []
+    picked: list[tuple] = []
     for kind in KINDS:
         own = rows.where(F.col("kind") == kind)
-        if out is not None:
-            own = own.join(F.broadcast(out.select("s1")), "s1", "left_anti")
-        once = own.groupBy("s1").agg(F.min(F.struct("related", "bucket", "reason")).alias("x")).orderBy("s1").limit(per_kind)
-        once = once.select("s1", "x.related", F.lit(kind).alias("kind"), "x.bucket", "x.reason")
-        out = once if out is None else out.unionByName(once)
-    return out.select(F.col("s1").alias("source1_entity_id"), F.col("related").alias("related_entity_ids"), "kind", F.col("bucket").alias("overlap_bucket"), "reason")
+        if used:
+            own = own.where(~F.col("s1").isin(used))
+        once = own.groupBy("s1").agg(F.min(F.struct("related", "bucket", "reason")).alias("x")).orderBy("s1").limit(per_kind).select("s1", "x.*").collect()
+        used += [r["s1"] for r in once]
+        picked += [(r["s1"], r["related"], kind, r["bucket"], r["reason"]) for r in once]
+    return rows.sparkSession.createDataFrame(picked, ", ".join(f"{c} string" for c in PACK))
 
 
 def slices(records: DataFrame, truth: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
