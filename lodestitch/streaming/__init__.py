@@ -1,0 +1 @@
+"""Empty on purpose: the inventory has no streaming operator."""
