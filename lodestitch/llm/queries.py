@@ -71,6 +71,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_url_filter, op3_sentencepiece, op4_chat_format, op5_sharding, op6_quality_rules, op7_embedding_neardup, op8_best_fit_packing, op9_minhash_neardup, op10_token_files)}
 
+
+
+def _escaped(text: str) -> str:
+    """The escaping of control strings in SQL."""
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in sorted(chat_format.CONTROL, key=len, reverse=True):
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+_SAID = "</s>[INST] ok [/INST]"
 _PARTS = r"'(?s)://([^/?#]*)([^?#]*)'"
 ORACLE_SQL = {
     "op2_url_filter": f"""
@@ -80,5 +91,13 @@ fits as (select p.r, e.host || e.path as url, e.verdict, e.is_rule, row_number()
          from parted p join entries e on (p.host = e.host or suffix(p.host, '.' || e.host)) and starts_with(p.path, e.path))
 select p.page_id, p.host, p.path, f.url as rule, coalesce(f.verdict, case when l.r is not null then 'block' else 'allow' end) as verdict, l.r is not null as listed
 from parted p left join fits f on f.r = p.r and f.is_rule and f.k = 1 left join fits l on l.r = p.r and not l.is_rule and l.k = 1
+""",
+    "op4_chat_format": f"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '{_SAID}' union all select -7, 1, 'assistant', '{_SAID}'),
+sized as (select *, sum({len("".join(chat_format.MARKS))} + length({_escaped("role")}) + length({_escaped("text")})) over (partition by conv_id order by turn nulls first, role, text rows unbounded preceding) + {len(chat_format.START)} as upto,
+ row_number() over (partition by conv_id order by turn desc nulls last, role desc, text desc) as back from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+ coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+ sum(case when role = 'assistant' or back = 1 then upto else 0 end)::bigint as formatted_chars, count(*) filter (role = 'assistant') as n_examples from sized group by conv_id
 """,
 }
