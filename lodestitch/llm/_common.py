@@ -22,7 +22,9 @@ def shared_root(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = _LOCAL_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="lodestitch-"))
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="lodestitch-")
+        root = _LOCAL_ROOTS[app]
     return f"{root.rstrip('/')}/lodestitch-{app}"
 
 
