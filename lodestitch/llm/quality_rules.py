@@ -122,7 +122,9 @@ def judge(docs: DataFrame, weighed: DataFrame, threshold: float = THRESHOLD, buc
     rows = measures(docs)
     total = F.aggregate(ngrams(F.col("__hashes")), F.lit(0.0), lambda a, g: a + F.get(table, bucket(g, buckets)))
     rows = rows.withColumn("llr", total / F.greatest(2 * F.size("__hashes"), F.lit(1)))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # The last term is always true and keeps the optimiser from pushing a filter on kept below the
+    # projections above: it would copy their expressions into each other without end.
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & (F.monotonically_increasing_id() >= 0))
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
