@@ -308,7 +308,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, words: int) -> Dat
 def keep_one(docs: DataFrame, threshold: float = 0.75, words: int = 5) -> DataFrame:
     """The rows of `docs`, all columns, with one row of each component: that of its least id, and of repeated rows one.
 
-    Rows without an id are all kept.
+    Rows without an id are all kept. An id that comes with several texts counts as one row.
     """
     verdict = near_duplicates(docs, threshold, words).where("kept and doc_id is not null").select(F.col("doc_id").alias("doc_id")).distinct()
     named = docs.where("doc_id is not null")
