@@ -110,7 +110,7 @@ def train(rows: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray,
             out -= lr * np.outer(p, mean)
             bias -= 0.1 * lr * p
             table[r] -= (lr * len(r) ** 0.5) * share[:, None] * back[None, :]
-    return Model(kinds, (table.astype(np.float64) @ out.T.astype(np.float64)).astype(np.float32), bias.astype(np.float64))
+    return Model(kinds, table @ out.T, bias.astype(np.float64))
 
 
 class Scorer(dict):
@@ -170,12 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [text_features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "rows": [f[0] for f in found], "counts": [f[1] for f in found]})
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "rows": [f[0].tobytes() for f in found], "counts": [f[1].tobytes() for f in found]})
 
-    got = texts.mapInPandas(run, "id long, y int, rows array<int>, counts array<float>").toPandas().sort_values("id")
-    if got.empty:
+    # bytes, read in place: the sample is held once on the driver
+    got = sorted(texts.mapInPandas(run, "id long, y int, rows binary, counts binary").collect(), key=lambda r: r["id"])
+    if not got:
         return None
-    return train([np.asarray(r, np.int64) for r in got["rows"]], [np.asarray(c, np.float32) for c in got["counts"]], got["y"].to_numpy())
+    return train([np.frombuffer(r["rows"], np.int32) for r in got], [np.frombuffer(r["counts"], np.float32) for r in got], np.array([r["y"] for r in got]))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", positive: int = 1) -> Column:
