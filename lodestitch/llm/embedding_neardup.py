@@ -1,6 +1,9 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference points (pivots) are drawn from the vectors themselves. A vector is described by its
+Reference points (pivots) are vectors of a sample of fixed size, taken farthest first and never
+closer than SPREAD: however dense a region, few pivots lie in it, so its vectors are told apart by
+pivots that a pair of near-duplicates sees in almost the same order. Vectors spread less than that
+have few pivots and all meet. A vector is described by its
 NEAREST closest pivots in order of distance; vectors close to each other see the pivots in almost
 the same order. The inverted lists are keyed by SHARED pivots at once: a vector enters the list of
 every SHARED-subset of its description, so two vectors meet in a list exactly if they share at
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from ._common import cells, components, stored
 
-#: Pivots drawn at most: a sample of fixed size, the vectors of the least hashes.
-PIVOTS = 64
+#: Pivots of a vector length at most (a set of them is the bits of a 64-bit number), taken from the SAMPLE classes of the least hashes.
+PIVOTS, SAMPLE = 64, 2048
+#: Greatest cosine between two pivots.
+SPREAD = 0.7
 #: Pivots in a description, and how many of them a pair must share.
 NEAREST, SHARED = 7, 3
 BLOCK = 1024
@@ -41,6 +46,16 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def spread_pivots(vectors: np.ndarray) -> np.ndarray:
+    """At most PIVOTS of the unit vectors: the first, then each time the one farthest from those taken, while its cosine to them is at most SPREAD."""
+    at = [0]
+    near = vectors @ vectors[0]
+    while len(at) < PIVOTS and near[k := int(near.argmin())] <= SPREAD:
+        at.append(k)
+        near = np.maximum(near, vectors @ vectors[k])
+    return vectors[at]
+
+
 def describe(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """(n, NEAREST) pivots of unit vectors, nearest first; of equal distances the lesser pivot."""
     return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, : min(NEAREST, len(pivots))]
@@ -68,9 +83,9 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     """Verified links (u, v), u < v, between classes (node, label, vec), each once."""
     spark = classes.sparkSession
-    drawn = classes.select("vec", F.xxhash64("class").alias("h")).orderBy("h").limit(PIVOTS).collect()
+    drawn = classes.select("vec", F.xxhash64("class").alias("h")).orderBy("h", "vec").limit(SAMPLE).collect()
     sizes = sorted({len(r["vec"]) for r in drawn})
-    by_size = {d: unit(np.array([r["vec"] for r in drawn if len(r["vec"]) == d])) for d in sizes}
+    by_size = {d: spread_pivots(unit(np.array([r["vec"] for r in drawn if len(r["vec"]) == d]))) for d in sizes}
     shared = spark.sparkContext.broadcast(by_size)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,8 +113,10 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
         # the shared-pivot count, and the one list in which the pair is taken
         at = int(own["list"].iat[0])
         if order.shape[1] >= SHARED:
-            both = [np.intersect1d(order[i], order[j]) for i, j in zip(a, b)]
-            ok = np.array([len(s) >= SHARED and int((np.sort(s)[:SHARED] * (PIVOTS ** np.arange(SHARED - 1, -1, -1))).sum()) == at for s in both], bool)
+            bits = np.bitwise_or.reduce(np.uint64(1) << order.astype(np.uint64), axis=1)
+            own = [at // PIVOTS**k % PIVOTS for k in range(SHARED)]  # the greatest pivot first
+            upto, subset = np.uint64((2 << own[0]) - 1), np.uint64(sum(1 << k for k in own))
+            ok = bits[a] & bits[b] & upto == subset
             a, b = a[ok], b[ok]
         exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
         u, v = node[a[exact]], node[b[exact]]

@@ -261,6 +261,22 @@ def test_embeddings(spark):
     assert embedding_neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [1 / 3, 1.0])
+def test_embeddings_of_a_dense_group_are_linked(spark, share):
+    rng = np.random.default_rng(7)
+    n, d = 900, 64
+    x = rng.normal(size=(n, d))
+    dense = int(n * share)
+    x[:dense] = rng.normal(size=d) + rng.normal(size=(dense, d)) * 0.13
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = ((unit @ unit.T >= 0.98) & ~np.eye(n, dtype=bool)).sum(axis=1)
+    df = spark.createDataFrame([(k, rows_like(v), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_neardup.near_duplicates(df).collect()}
+    assert links.sum() > 0.1 * dense * dense and all(got[k] <= links[k] for k in range(n))
+    assert sum(got.values()) >= 0.9 * links.sum()
+
+
 def rows_like(v):
     return [float(a) for a in v]
 
