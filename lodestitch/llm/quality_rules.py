@@ -1,19 +1,22 @@
 """Quality rules by hashed n-gram likelihood ratios; built-in functions only.
 
-Word unigrams and bigrams of all documents are counted into BUCKETS hashed buckets, once for the
-raw corpus (every document) and once for a trusted target. Both counts give a multinomial
+Word unigrams and bigrams are counted into BUCKETS hashed buckets, once for the raw corpus (every
+document) and once for a trusted target. Each distinct text counts once in either, so copies don't
+move the scores; texts that differ in a word count as different. Both counts give a multinomial
 (smoothed by one count a bucket); a bucket weighs the logarithm of the target's probability over
 the raw one's. A document scores the mean weight of its n-grams, so its length plays no part, and
-is kept if the score reaches a fixed threshold. Before that stand plain rules: too few words, or
-most words in repeated three-word windows.
+is kept if the score reaches a threshold. A part of the trusted texts isn't counted: like a good
+document without a label, these are in the raw counts only, and the threshold lies below their
+scores. Before that stand plain rules: too few words, or most words in repeated three-word windows.
 
 Both counts cover all their documents and whole texts. A document's n-grams are counted within
 its task before anything is exchanged, and the weights are one array of fixed size. Trusted texts are
 found by id: a blocked Bloom filter of fixed size drops most others in the scan, an exact
-semi-join the rest.
+semi-join the rest. Texts that come again are found likewise by their hash, and what they were
+counted beyond once is taken off.
 
 Nulls: a null text counts as empty and fails the plain rules. Rows without an id are judged, and
-never trusted. Repeated rows are judged each, and counted as often as they come. With no trusted
+never trusted. Repeated rows are judged each. With no trusted
 document every weight is the logarithm of a uniform probability over the raw one. Empty tables
 give no rows. Only the id and text columns are read.
 """
@@ -21,6 +24,7 @@ give no rows. Only the id and text columns are read.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from .url_filter import bloom_filter, may_contain
 
 BUCKETS = 1 << 14
-#: Least mean weight of a kept document.
+#: Least mean weight of a kept document, where none is left out; else the greatest such limit.
 THRESHOLD = -0.08
+#: One trusted text in LEFT_OUT isn't counted; the limit is MARGIN below the score that all but LOST of those documents reach.
+LEFT_OUT, LOST, MARGIN = 5, 0.005, 0.05
 MIN_WORDS = 50
 #: Percent of words in repeated windows above which a document fails.
 MAX_REPEATED = 50
@@ -58,21 +64,49 @@ def bucket(gram: Column, buckets: int) -> Column:
 
 
 def _counted(docs: DataFrame, buckets: int) -> DataFrame:
-    grams = worded(docs).select(F.explode(ngrams(F.col("__hashes"))).alias("gram"))
-    return grams.groupBy(bucket(F.col("gram"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """(bucket, raw, own) of docs (text, raw, own): each n-gram as often as the two columns say."""
+    grams = worded(docs).select("raw", "own", F.explode(ngrams(F.col("__hashes"))).alias("gram"))
+    return grams.groupBy(bucket(F.col("gram"), buckets).alias("bucket")).agg(F.sum("raw").alias("raw"), F.sum("own").alias("own"))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, weight), every bucket: the logarithm of the trusted documents' probability over the raw corpus's.
+def _ids(trusted: DataFrame) -> DataFrame:
+    return trusted.select(F.col("doc_id").alias("id")).where("id is not null").distinct()
 
-    trusted: (doc_id) of the trusted documents; ids may repeat.
-    """
-    ids = trusted.select(F.col("doc_id").alias("id")).where("id is not null").distinct()
+
+def _target(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the trusted documents."""
     masks = bloom_filter(ids, F.col("id"), FILTER_WORDS)
     own = docs.select(F.col("doc_id").alias("id"), "text")
-    target = own.where(F.col("id").isNotNull() & may_contain(masks, F.col("id"), FILTER_WORDS)).join(ids, "id", "left_semi")
-    counts = _counted(docs.select("text"), buckets).withColumn("t", F.lit(0)).unionByName(_counted(target.select("text"), buckets).withColumn("t", F.lit(1)))
-    sums = counts.groupBy("bucket").agg(F.sum(F.when(F.col("t") == 0, F.col("n")).otherwise(0)).alias("raw"), F.sum(F.when(F.col("t") == 1, F.col("n")).otherwise(0)).alias("own"))
+    return own.where(F.col("id").isNotNull() & may_contain(masks, F.col("id"), FILTER_WORDS)).join(ids, "id", "left_semi")
+
+
+def left_out(text: Column) -> Column:
+    """Whether the trusted documents of this text only place the threshold."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(LEFT_OUT)), F.lit(LEFT_OUT)) == 0
+
+
+def _surplus(docs: DataFrame, ids: DataFrame, counts: Column) -> DataFrame:
+    """(text, raw, own) of texts that come more than once: how often they are counted beyond once, as numbers below zero."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    keys = docs.select(h.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    again = docs.where(may_contain(bloom_filter(keys, F.col("key"), FILTER_WORDS), h, FILTER_WORDS))
+    both = again.select("text", F.lit(1).alias("n"), F.lit(0).alias("own")).unionByName(_target(again, ids).where(counts).select("text", F.lit(0).alias("n"), F.lit(1).alias("own")))
+    texts = both.groupBy("text").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).where("n > 1")
+    return texts.select("text", (1 - F.col("n")).alias("raw"), F.least(1 - F.col("own"), F.lit(0)).alias("own"))
+
+
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, leave_out: bool = False) -> DataFrame:
+    """(bucket, weight), every bucket: the logarithm of the trusted documents' probability over the raw corpus's.
+
+    trusted: (doc_id) of the trusted documents; ids may repeat. leave_out: not the left-out ones of them.
+    """
+    ids = _ids(trusted)
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    counts = ~left_out(F.col("text")) if leave_out else F.lit(True)
+    target = _target(docs, ids).where(counts)
+    parts = [docs.select("text", one.alias("raw"), none.alias("own")), target.select("text", none.alias("raw"), one.alias("own")), _surplus(docs, ids, counts)]
+    grams = reduce(DataFrame.unionByName, [_counted(part, buckets) for part in parts])
+    sums = grams.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own"))
     dense = docs.sparkSession.range(buckets).join(sums, F.col("id") == F.col("bucket"), "left").select(F.col("id").cast("int").alias("bucket"), (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), (F.coalesce("own", F.lit(0)) + 1).alias("own"))
     total = dense.agg(F.sum("raw").cast("double").alias("raw_total"), F.sum("own").cast("double").alias("own_total"))
     return dense.join(F.broadcast(total)).select("bucket", F.round(F.log(F.col("own") / F.col("own_total")) - F.log(F.col("raw") / F.col("raw_total")), 5).alias("weight"))
@@ -114,14 +148,29 @@ def measures(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEATED))
 
 
-def judge(docs: DataFrame, weighed: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """Adds the measures, llr (mean weight of the n-grams, 0 without any) and kept."""
-    # one constant array of fixed size: a lambda may hold a constant, not a subquery
+def constant(weighed: DataFrame, buckets: int = BUCKETS) -> Column:
+    """The weights as one constant array of fixed size: a lambda may hold a constant, not a subquery."""
     found = dict(weighed.collect())
-    table = F.from_json(F.lit(json.dumps([found[b] for b in range(buckets)])), "array<double>")
-    rows = measures(docs)
+    return F.from_json(F.lit(json.dumps([found[b] for b in range(buckets)])), "array<double>")
+
+
+def mean_weight(table: Column, buckets: int) -> Column:
+    """Of the n-grams of __hashes; 0 without any."""
     total = F.aggregate(ngrams(F.col("__hashes")), F.lit(0.0), lambda a, g: a + F.get(table, bucket(g, buckets)))
-    rows = rows.withColumn("llr", total / F.greatest(2 * F.size("__hashes"), F.lit(1)))
+    return total / F.greatest(2 * F.size("__hashes"), F.lit(1))
+
+
+def placed(docs: DataFrame, trusted: DataFrame, table: Column, buckets: int = BUCKETS) -> float:
+    """The threshold: what all but LOST of the left-out trusted documents reach, less MARGIN, and THRESHOLD at most."""
+    out = worded(_target(docs, _ids(trusted)).where(left_out(F.col("text")))).where(F.size("__words") >= MIN_WORDS)
+    low = out.select(mean_weight(table, buckets).alias("llr")).agg(F.percentile_approx("llr", LOST, 10_000)).first()[0]
+    return THRESHOLD if low is None else min(THRESHOLD, low - MARGIN)
+
+
+def judge(docs: DataFrame, table: Column, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """Adds the measures, llr (mean weight of the n-grams, 0 without any) and kept."""
+    rows = measures(docs)
+    rows = rows.withColumn("llr", mean_weight(table, buckets))
     # The last term is always true and keeps the optimiser from pushing a filter on kept below the
     # projections above: it would copy their expressions into each other without end.
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & (F.monotonically_increasing_id() >= 0))
@@ -130,14 +179,20 @@ def judge(docs: DataFrame, weighed: DataFrame, threshold: float = THRESHOLD, buc
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _judged(docs: DataFrame, trusted: DataFrame, threshold: float | None) -> tuple[Column, float]:
+    """(weights, threshold) over docs (doc_id, text); a threshold of None is placed."""
+    table = constant(weights(docs, trusted, leave_out=True))
+    return table, placed(docs, trusted, table) if threshold is None else threshold
+
+
+def quality(docs: DataFrame, trusted: DataFrame, threshold: float | None = None) -> DataFrame:
     """(doc_id, the measures, llr, kept) of every row."""
     own = docs.select("doc_id", "text")
-    return judge(own, weights(own, trusted), threshold).select("doc_id", *MEASURES)
+    return judge(own, *_judged(own, trusted, threshold)).select("doc_id", *MEASURES)
 
 
-def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float | None = None) -> DataFrame:
     """The kept rows of `docs`, all columns. The measures are those of a nested copy, so columns of the same names stay as they are."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    kept = judge(own, weights(docs.select("doc_id", "text"), trusted), threshold).where("kept")
+    kept = judge(own, *_judged(docs.select("doc_id", "text"), trusted, threshold)).where("kept")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -235,6 +235,17 @@ def test_llr_equals_a_plain_model(spark):
         assert found[b] == pytest.approx(want, abs=1e-5)
 
 
+def test_quality_rules_keep_an_unlabelled_group_of_clean_copies(spark):
+    rng = random.Random(4)
+    text = lambda mark: " ".join(mark + w for w in rng.choices([f"w{k}" for k in range(300)], k=200))
+    rows = [(k, text("")) for k in range(300)] + [(1000 + k, text("$")) for k in range(60)]
+    rows += [(2000 + k, rows[299][1]) for k in range(180)]  # no label covers this text
+    trusted = spark.createDataFrame([(k,) for k in range(0, 298, 2)], "doc_id long")
+    kept = {r.doc_id for r in quality_rules.quality(docs(spark, rows), trusted).where("kept").collect()}
+    assert all(k in kept for k in range(2000, 2180)) and 299 in kept
+    assert sum(k in kept for k in range(300)) >= 285 and not any(1000 <= k < 1060 for k in kept)
+
+
 def unit_rows(n, d, seed):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, d))
