@@ -645,6 +645,16 @@ def fea_03(spark, d):
     return pairs.select("s1", "cand", F.round(similarity.jaro_winkler("l", "r"), 6).alias("jw"))
 
 
+@query("fea_03_jaro_winkler_all")
+def fea_03_all(spark, d):
+    """All selected pairs, by code points; the SQL of fea_03_jaro_winkler compares bytes and holds for ASCII names only."""
+    c = C(spark, d)
+    own = c.records.select("entity_id", text.normalize_raw(F.col("business_name")).alias("n"))
+    pairs = select.select(linkage.raw_ranked(c), linkage.CAP).select("s1", "cand")
+    pairs = pairs.join(own.select(F.col("entity_id").alias("s1"), F.col("n").alias("l")), "s1").join(own.select(F.col("entity_id").alias("cand"), F.col("n").alias("r")), "cand")
+    return pairs.select("s1", "cand", F.round(similarity.jaro_winkler("l", "r"), 6).alias("jw"))
+
+
 @query("fea_04_raw_feature_rows")
 def fea_04(spark, d):
     return _raw_features(spark, d)

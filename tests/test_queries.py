@@ -1,5 +1,6 @@
 import __spark_entry__
 import pytest
+from pyspark.sql import functions as F
 
 FAST = ["src_01_entity_view", "nrm_09_raw_tokens", "tok_05_frequencies", "ret_04_raw_candidates", "snk_01_candidate_lists", "met_12_macro_f05", "val_02_violations"]
 
@@ -28,3 +29,36 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def plain_jaro_winkler(a, b):
+    """By code points, from the definition: matches by flags on both sides, then the order of the matched characters."""
+    if a == b:
+        return 1.0
+    reach, used, hit = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+    for i, c in enumerate(a):
+        j = next((j for j in range(len(b)) if abs(i - j) <= reach and j not in used and b[j] == c), None)
+        if j is not None:
+            used.add(j)
+            hit.append(c)
+    if not hit:
+        return 0.0
+    m, swapped = len(hit), sum(x != b[j] for x, j in zip(hit, sorted(used))) // 2
+    score = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+    same = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
+    return score + same * 0.1 * (1 - score) if score > 0.7 else score
+
+
+def test_jaro_winkler_covers_names_with_accents(spark, tmp_path):
+    lines = ["caf\u00e9 d\u00fcrer stra\u00dfe", "caf\u00e9 durer stra\u00dfe", "caf\u00e9 d\u00fcrre nord", "ni\u00f1o caf\u00e9 sur", "plain cafe line"]
+    spark.createDataFrame([(k, lines[k % 5], "fr", "x", 20) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    from lodestitch.functions.text import normalize_raw
+    from lodestitch.operators import select
+    from lodestitch.plans import linkage
+
+    c = linkage.corpus(spark, str(tmp_path))
+    names = {r[0]: r[1] for r in c.records.select("entity_id", normalize_raw(F.col("business_name"))).collect()}
+    pairs = {(r.s1, r.cand) for r in select.select(linkage.raw_ranked(c), linkage.CAP).collect()}
+    got = {(r.s1, r.cand): r.jw for r in __spark_entry__.queries()["fea_03_jaro_winkler_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == pairs and any(not (names[a] + names[b]).isascii() for a, b in pairs)
+    assert all(v == pytest.approx(plain_jaro_winkler(names[a], names[b]), abs=1e-6) for (a, b), v in got.items())
