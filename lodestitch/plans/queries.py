@@ -672,7 +672,7 @@ def fea_07(spark, d):
     c = C(spark, d)
     records = linkage.kept(represent.canonical(c.records))
     names, addresses, _ = tokens.mine(records)
-    return features.canonical_features(select.select(linkage.raw_ranked(c), 10), records, names, addresses)
+    return features.canonical_features(select.select(linkage.raw_ranked(c), linkage.CAP, linkage.FLOOR), records, names, addresses)
 
 
 @query("mdl_01_gbt_probabilities")

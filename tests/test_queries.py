@@ -1,3 +1,5 @@
+from collections import Counter
+
 import __spark_entry__
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,13 @@ def test_jaro_winkler_covers_names_with_accents(spark, tmp_path):
     got = {(r.s1, r.cand): r.jw for r in __spark_entry__.queries()["fea_03_jaro_winkler_all"](spark, str(tmp_path)).collect()}
     assert set(got) == pairs and any(not (names[a] + names[b]).isascii() for a, b in pairs)
     assert all(v == pytest.approx(plain_jaro_winkler(names[a], names[b]), abs=1e-6) for (a, b), v in got.items())
+
+
+def test_canonical_features_cover_the_candidates_of_the_matching_path(spark, tmp_path):
+    spark.createDataFrame([(k, "same shop line", "fr", "x", 14) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    from lodestitch.operators import select
+    from lodestitch.plans import linkage
+
+    pairs = sorted((r.s1, r.cand) for r in select.select(linkage.raw_ranked(linkage.corpus(spark, str(tmp_path))), linkage.CAP, linkage.FLOOR).collect())
+    got = sorted((r.s1, r.cand) for r in __spark_entry__.queries()["fea_07_canonical_features"](spark, str(tmp_path)).select("s1", "cand").collect())
+    assert got == pairs and max(Counter(s1 for s1, _ in pairs).values()) > 10
