@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indic, similarity, text
@@ -39,7 +39,11 @@ def fixture(spark: SparkSession) -> DataFrame:
 
 
 C = linkage.corpus
-EMPTY = F.array().cast("array<string>")
+
+
+def no_tokens() -> Column:
+    """An empty array of strings; a function, since a column needs a session and this module is imported before there is one."""
+    return F.array().cast("array<string>")
 
 
 # -- sources
@@ -412,8 +416,8 @@ asks as ({_gathered('queries')}), picks as (select * from (select q.entity_id as
 def ret_06(spark, d):
     c = C(spark, d)
     view = linkage.views(c)
-    idx = index.index_views(view.join(c.targets.select("entity_id", "source"), "entity_id").withColumn("name_ngrams", EMPTY))
-    found = retrieve.canonical_candidates_of_tokens(view.where("entity_id like 'S1-%'").withColumn("name_ngrams", EMPTY), idx)
+    idx = index.index_views(view.join(c.targets.select("entity_id", "source"), "entity_id").withColumn("name_ngrams", no_tokens()))
+    found = retrieve.canonical_candidates_of_tokens(view.where("entity_id like 'S1-%'").withColumn("name_ngrams", no_tokens()), idx)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -593,7 +597,7 @@ def _by_name(c: linkage.Corpus) -> DataFrame:
     """A plain predictor: every target of the same normalised name."""
     found = retrieve.exact(retrieve.raw_queries(c.queries), index.build_raw(c.targets).records, {"exact_name": "name"}, retrieve.POOL)
     lists = found.groupBy("s1").agg(F.collect_set("cand").alias("predicted"))
-    return c.truth.select("s1").join(lists, "s1", "left").select("s1", F.coalesce("predicted", EMPTY).alias("predicted"))
+    return c.truth.select("s1").join(lists, "s1", "left").select("s1", F.coalesce("predicted", no_tokens()).alias("predicted"))
 
 
 @query("met_11_entity_f05", with_tables(f"select s1, round({_F05}, 6) as f05 from {_EXACT_NAMES}", "truth", "exact"))

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import __spark_entry__
@@ -33,6 +36,13 @@ def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_queries_and_sql_are_there_without_a_session():
+    home = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=home, env={**os.environ, "PYTHONPATH": home}, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert [int(n) for n in said.stdout.split()[-2:]] == [len(__spark_entry__.queries()), len(__spark_entry__.oracle_sql())]
+
+
 def plain_jaro_winkler(a, b):
     """By code points, from the definition: matches by flags on both sides, then the order of the matched characters."""
     if a == b:
