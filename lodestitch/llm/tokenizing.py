@@ -4,8 +4,9 @@ Most of the library's time goes into its normaliser and its splitter, not into B
 of `WORDS` kind splits a text into pieces that are encoded independently of each other, so the
 ids of a text are the ids of its pieces in order, and a piece seen before needs no encoding. Texts
 of printable ASCII and Latin-1 letters are split here and their new pieces encoded by the
-library's model; any other text goes through the library whole. Tests hold both against the
-library's own result.
+library's model; any other text, and any that may hold one of the file's added tokens, goes
+through the library whole, as it comes: an added token in a text gives that token's id. Tests
+hold both against the library's own result.
 """
 
 from __future__ import annotations
@@ -39,10 +40,11 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
+        #: Lower-cased: some added tokens are looked for after the normaliser.
+        self.added = [t["content"].lower() for t in shape.get("added_tokens", [])]
         pre = (shape.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.splits = (
             [n.get("type") for n in (shape.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
@@ -61,7 +63,9 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         """Ids of the whole text, without special tokens, as little-endian unsigned 32-bit bytes."""
         if self.splits and SAFE.fullmatch(text):
-            return b"".join(map(self.__getitem__, PIECE.findall(text.lower())))
+            low = text.lower()
+            if not any(token in low for token in self.added):
+                return b"".join(map(self.__getitem__, PIECE.findall(low)))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
