@@ -1,15 +1,21 @@
 """Best-fit packing of token sequences.
 
 Documents are encoded, ended with an id, and cut only where they are longer than a sequence. The
-pieces are packed best-fit decreasing: longest first, each into the open sequence that it fills
-most tightly, found by a segment tree over remaining capacities in logarithmic time.
-
-Pieces are packed in groups of about GROUP pieces dealt by a hash, as many groups as the corpus
-needs, each in one task of bounded memory. Every group is a fair sample of the corpus, so a group
-packs as tightly as the whole does, but for one half-empty sequence at its end.
-
-Nulls: a null text counts as empty (a document of the end id alone). Repeated rows are packed as
-often as they come. Empty tables give no rows. Only the id and text columns are read.
+pieces of the whole corpus are packed best-fit decreasing: longest first, each into the open
+sequence that it fills most tightly, found by a segment tree over remaining capacities in
+logarithmic time.
+
+Pieces of one length are alike to the method, so it runs over the histogram of lengths (at most one
+number per length up to `size`, whatever the corpus holds) and places a length's pieces run by
+run: a run is pieces that go into neighbouring sequences of one remaining capacity, as many into
+each as fit, which is what placing them one by one does. The driver holds the histogram and the
+runs, both bounded by `size`. A piece then finds its sequence by its rank among the pieces of its
+length: its place in its task plus the counts of the tasks before. No group of pieces is gathered.
+
+Nulls: a null text counts as empty (a document of the end id alone); a null id stays null. Repeated
+rows are packed as often as they come. A text of any length is cut as a whole. Pieces of equal
+length (ties) go in the order of the scan. Empty tables give no rows. Only the id and text columns
+are read, so extra columns of whatever names don't matter.
 """
 
 from __future__ import annotations
@@ -22,11 +28,11 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ._common import stored
 from .tokenizing import encoder
 
-GROUP = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -58,57 +64,84 @@ class CapacityTree:
         return -1
 
 
-def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each item, bins numbered from 0; items of 1..size."""
-    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    tree, open_bins, n = CapacityTree(size), [[] for _ in range(size + 1)], 0
-    for k in np.argsort(-lengths, kind="stable").tolist():
-        need = int(lengths[k])
-        room = tree.tightest(need)
-        if room < 0:
-            room, bin_ = size, n
-            n += 1
-        else:
-            bin_ = open_bins[room].pop()
-            tree.add(room, -1)
-        bins[k], offsets[k] = bin_, size - room
-        if room > need:
-            open_bins[room - need].append(bin_)
-            tree.add(room - need, 1)
-    return bins, offsets
+def best_fit_runs(counts: dict[int, int], size: int) -> np.ndarray:
+    """Best-fit decreasing of counts[length] pieces of each length 1..size: rows (length, rank, bin, per bin, offset), ascending.
+
+    The pieces of a length from `rank` on (up to the next run's) go `per bin` each into bins `bin`,
+    `bin` + 1, ..., the first of a bin at `offset`.
+    """
+    tree, open_bins, n, runs = CapacityTree(size), [[] for _ in range(size + 1)], 0, []
+
+    def leave(capacity: int, first: int, bins: int) -> None:
+        if capacity and bins:
+            open_bins[capacity].append((first, bins))
+            tree.add(capacity, bins)
+
+    for need in sorted(counts, reverse=True):
+        rank, left = 0, counts[need]
+        while left:
+            room = tree.tightest(need)
+            if room < 0:
+                room, first, bins = size, n, -(-left // (size // need))
+                n += bins
+            else:
+                first, bins = open_bins[room].pop()
+                tree.add(room, -bins)
+            # a bin that still has room after a piece is the tightest for the next one
+            per = room // need
+            used = min(bins, -(-left // per))
+            leave(room, first + used, bins - used)
+            placed = min(left, used * per)
+            full, rest = divmod(placed, per)
+            leave(room - per * need, first, full)
+            leave(room - rest * need, first + full, min(rest, 1))
+            runs.append((need, rank, first, per, size - room))
+            rank, left = rank + placed, left - placed
+    return np.array(sorted(runs), np.int64).reshape(-1, 5)
+
+
+def placed_by(runs: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of the pieces of these lengths and ranks."""
+    key = lambda length, rank: (length << 40) | rank
+    run = runs[np.searchsorted(key(runs[:, 0], runs[:, 1]), key(lengths, ranks), side="right") - 1]
+    at = ranks - run[:, 1]
+    return run[:, 2] + at // run[:, 3], run[:, 4] + at % run[:, 3] * lengths
 
 
 def cut(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every piece, and its place (part, at) in the scan."""
+    """(doc_id, piece, start, length, ids_crc32) of every piece, its task (part) and its place among the pieces of its length there (nth)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end, part, at = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        enc, end, part, seen = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), [0] * (size + 1)
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 ids = enc.encode(text) + end
                 for piece, start in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[start : start + 4 * size]
-                    out.append((doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own), part, at))
-                    at += 1
-            rows = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "at"])
+                    length = len(own) // 4
+                    out.append((doc_id, piece, start // 4, length, zlib.crc32(own), part, seen[length]))
+                    seen[length] += 1
+            rows = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
             yield rows.assign(doc_id=pd.array([None if x is None else int(x) for x in rows["doc_id"]], "Int64"))
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"{PIECES}, part int, at long")
+    return rows.mapInPandas(run, f"{PIECES}, part int, nth long")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     pieces = stored(cut(docs, tokenizer, size, end_id))
-    groups = max(1, -(-pieces.count() // GROUP))
-    out = f"{PIECES}, sequence_id long, offset long"
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "at"], kind="stable").reset_index(drop=True)
-        bins, offsets = best_fit_decreasing(pdf["length"].to_numpy(), size)
-        return pdf.assign(sequence_id=(np.int64(pdf["group"].iloc[0]) << 32) + bins, offset=offsets).drop(columns=["part", "at", "group"])
-
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("part", "at"), F.lit(groups)))
-    # ids travel as text, so that a null id is no float
-    return dealt.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("group").applyInPandas(place, out.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    counts = stored(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
+    runs = best_fit_runs(dict(counts.groupBy("length").agg(F.sum("n").alias("n")).collect()), size)
+    shared = docs.sparkSession.sparkContext.broadcast(runs)
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        bins, offsets = placed_by(shared.value, lengths.to_numpy(np.int64), ranks.to_numpy(np.int64))
+        return pd.DataFrame({"sequence_id": bins, "offset": offsets})
+
+    before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    before = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = pieces.join(before, ["part", "length"]).withColumn("at", place("length", F.col("before") + F.col("nth")))
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
