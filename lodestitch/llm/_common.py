@@ -73,11 +73,14 @@ def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
             .where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         )
         if named is None:
-            named = to.select(F.col("u").alias("node"), F.col("to").alias("root"))
+            named, over = to.select(F.col("u").alias("node"), F.col("to").alias("root")), [f"{here}/e{k}"]
+            at = f"{here}/r{k}"
         else:
             step = to.select(F.col("u").alias("root"), F.col("to").alias("next"))
             named = stored(named.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), f"{here}/n{k}")
+            over, at = [f"{here}/e{k}", f"{here}/r{k}", at], f"{here}/n{k}"
         e = stored(renamed, f"{here}/e{k + 1}")
+        remove(spark, *over)  # nothing reads these any more
         k += 1
     if named is None:
         return spark.createDataFrame([], f"node {kind}, root {kind}")

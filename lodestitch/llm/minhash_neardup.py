@@ -10,9 +10,10 @@ below the threshold end there; the others are compared on their full sets.
 Texts with the same set are one node, so copies cost one row, and only links between nodes that
 are not yet known to be connected are looked for:
 
-1. In each band the node of the least document is its leader. Every other node is compared with
-   the leader it shares most bands with. This alone joins most groups, however large, with one
-   comparison per node.
+1. In each band the node of the least document is its leader. Every other node is a candidate of
+   the leader it shares most bands with. Candidates whose odd sketches allow the threshold are
+   compared on full sets. This alone joins most groups, however large, with one comparison per
+   node; a leader's set goes once to each bounded share of its candidates.
 2. What is left are bands that still hold several components. There, all pairs of different
    components meet in square cells of bounded size (a large band takes many cells, spread over
    tasks) and are held against their odd sketches; a pair counts in the first band it shares.
@@ -20,12 +21,14 @@ are not yet known to be connected are looked for:
    same cells once more with their full sets, and each cell emits a spanning set of its links: a
    pair that the cell has connected already is not compared.
 
-No pair of a band is dropped; a pair at the threshold itself shares no band in one of 190,000
-cases ((1 - 0.75^4)^32). The sketch's bound lies 4 standard deviations below the threshold.
+So no full set is read but for pairs that share a band and whose sketches are close. No pair of a
+band is dropped; a pair at the threshold itself shares no band in one of 190,000 cases
+((1 - 0.75^4)^32). The sketch's bound lies 4 standard deviations below the threshold.
 
 Nulls: a null text counts as empty. A text without words has the empty set: it links with nothing
 and is its own component. A null id takes part and never names a component that has another id.
-Repeated rows share one component. Empty tables give no rows. Only the id and text columns are read.
+Repeated rows share one component. Very long texts count whole. A pair exactly at the threshold (a
+tie) is a link. Empty tables give no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -96,11 +99,11 @@ def band_keys(sampled: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(sampled: np.ndarray) -> np.ndarray:
-    """(n, BITS / 8) bytes of (n, HASHES) samples: the parity of the samples that fall on each bit."""
+    """(n, BITS / 64) words of (n, HASHES) samples: the parity of the samples that fall on each bit."""
     place = mix(sampled.astype(np.uint64) + (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
     flat = (np.arange(len(sampled), dtype=np.int64)[:, None] * BITS + place.astype(np.int64)).ravel()
     odd = np.bincount(flat, minlength=len(sampled) * BITS).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(len(sampled), BITS), axis=1)
+    return np.packbits(odd.reshape(len(sampled), BITS), axis=1).view(np.int64)
 
 
 def most_different_bits(threshold: float) -> int:
@@ -112,7 +115,10 @@ def most_different_bits(threshold: float) -> int:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node binary, bands array<long>, sketch binary) of every row; no node for the empty set."""
+    """(doc_id, same, n_shingles, node binary, bands array<long>, sketch array<long>) of every row; no node for the empty set.
+
+    `same` tells rows of one id apart by their texts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -124,65 +130,79 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": pdf["doc_id"],
+                        "same": pdf["same"],
                         "n_shingles": [len(s) for s in sets],
                         "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                         "bands": [k if len(s) else None for k, s in zip(keys, sets)],
-                        "sketch": [k.tobytes() if len(s) else None for k, s in zip(sketches, sets)],
+                        "sketch": [k if len(s) else None for k, s in zip(sketches, sets)],
                     }
                 )
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id string, n_shingles long, node binary, bands array<long>, sketch binary").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), _same().alias("same"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(run, "doc_id string, same long, n_shingles long, node binary, bands array<long>, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def _same() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def grouped(docs: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(doc_id, same, n_shingles, component) of every row; the component is null for the empty set."""
+    sig = stored(signatures(docs, words))
+    nodes = sig.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles")).alias("doc"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    roots = components(links(docs, stored(nodes), round(100 * threshold), words), "binary").withColumnRenamed("root", "component")
+    rows = sig.select("doc_id", "same", "n_shingles", "node").join(roots, sig["node"] == roots["node"], "left").drop(roots["node"])
+    # a text that links with nothing is a component of its copies
+    return stored(rows.select("doc_id", "same", "n_shingles", F.coalesce("component", "node").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept rows have the least id of their component."""
-    percent = round(100 * threshold)
-    sig = stored(signatures(docs, words))
-    linked = links(docs, sig, percent, words)
-    roots = components(linked, "binary").withColumnRenamed("root", "component")
-    rows = sig.select("doc_id", "n_shingles", "node").join(roots, sig["node"] == roots["node"], "left").drop(roots["node"])
-    # a text that links with nothing is a component of its copies; the empty set one of its row
-    rows = stored(rows.withColumn("component", F.coalesce("component", "node")))
+    rows = grouped(docs, threshold, words)
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def links(docs: DataFrame, sig: DataFrame, percent: int, words: int) -> DataFrame:
-    """Verified links (u, v) between nodes that connect every component; not every link inside one."""
-    # a node of a band once, whatever number of copies it has
-    banded = sig.where("node is not null").select("node", F.struct("doc_id", "n_shingles").alias("doc"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min(F.struct("doc", "node")).alias("lead"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("band", "lead")
-    members = stored(banded.join(shared, "band").groupBy("band", "node").agg(F.min("doc").alias("doc"), F.first("lead").alias("lead")))
+def sketch_distance(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ: the population count of their XOR."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
+def links(docs: DataFrame, nodes: DataFrame, percent: int, words: int) -> DataFrame:
+    """Verified links (u, v) between nodes that connect every component; not every link inside one."""
+    bits = most_different_bits(percent / 100)
+    banded = nodes.select("node", "doc", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min(F.struct("doc", "node")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "lead")
+    members = stored(banded.join(shared, "band"))
+
     pairs = members.where("lead.node <> node and " + f"least(doc.n_shingles, lead.doc.n_shingles) * 100 >= greatest(doc.n_shingles, lead.doc.n_shingles) * {percent}")
     pairs = pairs.groupBy("node", F.col("lead.node").alias("other")).agg(F.count(F.lit(1)).alias("n"), F.min("doc.doc_id").alias("d"), F.min("lead.doc.doc_id").alias("o"))
     best = pairs.groupBy("node").agg(F.max(F.struct("n", F.col("other"), "d", "o")).alias("x")).select(F.col("node").alias("u"), F.col("x.other").alias("v"), F.col("x.d").alias("du"), F.col("x.o").alias("dv"))
-    first = stored(verified(docs, best, percent, words))
+    by = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    close = best.join(by("u"), "u").join(by("v"), "v").where(sketch_distance(F.col("sketch_u"), F.col("sketch_v")) <= bits)
+    first = stored(verified(docs, stored(close.select("u", "v", "du", "dv")), percent, words))
 
     roots = stored(components(first, "binary"))
     named = members.join(roots, "node", "left").select("band", "node", "doc", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
-    sketches = sig.where("node is not null").groupBy("node").agg(F.first(F.struct("sketch", "bands")).alias("s"))
-    left = named.join(mixed, "band").join(sketches, "node").select("band", "node", "root", F.col("doc.doc_id").alias("doc_id"), F.col("doc.n_shingles").alias("n"), "s.sketch", "s.bands")
+    left = named.join(mixed, "band").join(nodes.select("node", "sketch", "bands"), "node").select("band", "node", "root", F.col("doc.doc_id").alias("doc_id"), F.col("doc.n_shingles").alias("n"), "sketch", "bands")
     dealt = cells(left, ["band"], F.xxhash64("node"), BLOCK)
-    close = stored(in_cells(dealt, percent, most_different_bits(percent / 100), False))
-    sets = node_sets(docs, close.select("doc_id"), words)
-    return first.unionByName(in_cells(close.join(sets, "node"), percent, most_different_bits(percent / 100), True))
+    near = stored(in_cells(dealt, percent, bits, False))
+    sets = node_sets(docs, near.select("doc_id"), words)
+    return first.unionByName(in_cells(near.join(sets, "node"), percent, bits, True))
 
 
 CELL = ["band", "cell_i", "cell_j"]
-NODE = "band long, cell_i int, cell_j int, block int, node binary, root binary, doc_id string, n long, sketch binary, bands array<long>"
+NODE = "band long, cell_i int, cell_j int, block int, node binary, root binary, doc_id string, n long, sketch array<long>, bands array<long>"
 
 
 def close_pairs(cell: pd.DataFrame, percent: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """(a, [b, ...]) for the rows of a cell: pairs of different components whose first shared band is the
     cell's, whose sizes allow the threshold and whose odd sketches differ in at most `bits` bits."""
     n, band = len(cell), cell["band"].iat[0]
-    sketch = np.frombuffer(b"".join(cell["sketch"]), np.uint64).reshape(n, BITS // 64)
-    bands, size, root = np.stack(cell["bands"].to_numpy()), cell["n"].to_numpy(np.int64), pd.factorize(cell["root"])[0]
+    sketch, bands = np.stack(cell["sketch"].to_numpy()).view(np.uint64), np.stack(cell["bands"].to_numpy())
+    size, root = cell["n"].to_numpy(np.int64), pd.factorize(cell["root"])[0]
     block, crossed = cell["block"].to_numpy(), cell["cell_i"].iat[0] != cell["cell_j"].iat[0]
     for a in range(n - 1):
         rest = slice(a + 1, n)
@@ -289,28 +309,42 @@ def node_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (u, v, du, dv) whose full sets reach the threshold, as (u, v); du and dv are ids of documents with these sets."""
+    """The pairs (u, v, du, dv) whose full sets reach the threshold, as (u, v); du and dv are ids of documents with these sets.
+
+    u is in one pair only; v may be in very many. The u of a v are dealt to shares of about BLOCK, and
+    a share gets the set of v once, before theirs.
+    """
     sets = node_sets(docs, pairs.select(F.explode(F.array("du", "dv")).alias("doc_id")), words)
-    a, b = (sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "uv")
+    shares = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares"))
+    dealt = stored(pairs.join(shares, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("shares")).alias("share")))
+    heads = dealt.select("v", "share").distinct().select(F.col("v").alias("node"), "v", "share", F.lit(0).alias("after"))
+    rows = heads.unionByName(dealt.select(F.col("u").alias("node"), "v", "share", F.lit(1).alias("after"))).join(sets, "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = np.empty(0, np.uint64)
         for pdf in batches:
-            ok = []
-            for x, y in zip(pdf["own_u"], pdf["own_v"]):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pdf.loc[ok, ["u", "v"]]
+            out = []
+            for node, v, after, own in zip(pdf["node"], pdf["v"], pdf["after"], pdf["own"]):
+                own = np.frombuffer(own, np.uint64)
+                if not after:
+                    head = own
+                else:
+                    both = len(np.intersect1d(head, own, assume_unique=True))
+                    if 100 * both >= percent * (len(head) + len(own) - both):
+                        out.append((node, v))
+            yield pd.DataFrame(out, columns=["u", "v"])
 
-    return pairs.select("u", "v").join(a, "u").join(b, "v").mapInPandas(compare, "u binary, v binary")
+    return rows.repartition("v", "share").sortWithinPartitions("v", "share", "after").mapInPandas(compare, "u binary, v binary")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.75, words: int = 5) -> DataFrame:
-    """The rows of `docs`, all columns, with one row of each component: that of its least id, and of repeated rows one.
-
-    Rows without an id are all kept. An id that comes with several texts counts as one row.
+    """The rows of `docs`, all columns, with one row of each component: that of its least id, of equal ids the text of the
+    least hash, of equal rows one. A null id comes last. A text without words is a component of its own row's id and text.
     """
-    verdict = near_duplicates(docs, threshold, words).where("kept and doc_id is not null").select(F.col("doc_id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null")
-    once = named.join(verdict, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    rows = grouped(docs, threshold, words)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "same")
+    first = rows.where("component is not null").groupBy("component").agg(F.min(row).alias("row")).select("row.*")
+    first = first.unionByName(rows.where("component is null").select(row.alias("row")).select("row.*")).distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), _same().alias("same"))
+    once = keyed.join(first, ["none", "id", "same"], "left_semi").dropDuplicates(["none", "id", "same"])
+    return once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

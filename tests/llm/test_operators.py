@@ -22,20 +22,19 @@ def docs(spark, rows):
 
 
 LONG = " ".join(f"word{k % 977} é{k}" for k in range(30_000))
-ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "one two"), (4, "one two"), (None, "no id here"), (5, LONG), (6, "Ångström — naïve \U0001f600 <|endoftext|> ﬁ"), (7, "Ertzßsch zu. Don't 123"), (8, "cafe\u0301")]
+ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "one two"), (4, "one two"), (None, "no id here"), (5, LONG), (6, "Ångström — naïve \U0001f600 <|endoftext|> ﬁ"), (7, "Ertzßsch zu. Don't 123"), (8, "cafe\u0301"), (9, "a <|endoftext|> b<|startoftext|>c"), (10, " ".join(["a"] * 2047)), (11, " ".join(["a"] * 2048))]
 
 
 def library(text):
+    """The tokenizers library as it comes."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(WORD_BPE).encode(text or "", add_special_tokens=False).ids
 
 
 def test_shortcut_encodes_as_the_library_does():
     rng = random.Random(3)
-    texts = [t or "" for _, t in ODD[:6] + ODD[7:]] + ["".join(rng.choices("abzéßÖ'stvre 019.,!?\n$£\u0301", k=60)) for _ in range(150)]
+    texts = [t or "" for _, t in ODD] + ["<|endoftext|>", "x<|STARTOFTEXT|> <|EndOfText|>y", "<|endoftext|", "<|startoftext|><|endoftext|>", "<|endof\u00adtext|>"] + ["".join(rng.choices("abzéßÖ'stvre 019.,!?\n$£\u0301", k=60)) for _ in range(150)]
     for t in texts:
         assert np.frombuffer(encoder(WORD_BPE).encode(t), "<u4").tolist() == library(t), t
 
@@ -300,6 +299,15 @@ def test_packing(spark):
             own = ids[r.doc_id][r.start : r.start + r.length]
             assert r.start == 2048 * r.piece and len(own) == r.length and zlib.crc32(np.array(own, "<u4").tobytes()) == r.ids_crc32
     assert sum(r.length for r in got) == sum(len(library(t)) + 1 for _, t in ODD)
+    assert [r.length for r in got if r.doc_id == 10] == [2048] and sorted(r.length for r in got if r.doc_id == 11) == [1, 2048]
+    room: list[int] = []
+    for n in sorted((r.length for r in got), reverse=True):  # the whole table, one piece after the other
+        fit = min((r for r in room if r >= n), default=None)
+        if fit is None:
+            room.append(2048 - n)
+        else:
+            room[room.index(fit)] -= n
+    assert len({r.sequence_id for r in got}) == len(room)
     for s in {r.sequence_id for r in got}:
         at = 0
         for r in sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset):
@@ -310,18 +318,36 @@ def test_packing(spark):
 
 
 def test_best_fit_matches_a_plain_search():
-    rng = np.random.default_rng(4)
-    lengths = rng.integers(1, 101, 400)
-    bins, offsets = packing.best_fit_decreasing(lengths, 100)
-    room: list[int] = []
-    for n in sorted(lengths.tolist(), reverse=True):
-        fit = min((r for r in room if r >= n), default=None)
-        if fit is None:
-            room.append(100 - n)
-        else:
-            room[room.index(fit)] -= n
-    assert bins.max() + 1 == len(room)
-    assert sorted(100 - np.bincount(bins, lengths).astype(int)) == sorted(room)
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        size = int(rng.integers(5, 120))
+        lengths = rng.integers(1, size + 1, int(rng.integers(1, 600)))
+        seen, ranks = Counter(), []
+        for n in lengths.tolist():
+            ranks.append(seen[n])
+            seen[n] += 1
+        bins, offsets = packing.placed_by(packing.best_fit_runs(dict(seen), size), lengths, np.array(ranks))
+        room: list[int] = []
+        for n in sorted(lengths.tolist(), reverse=True):
+            fit = min((r for r in room if r >= n), default=None)
+            if fit is None:
+                room.append(size - n)
+            else:
+                room[room.index(fit)] -= n
+        assert bins.max() + 1 == len(room)
+        assert sorted(size - np.bincount(bins, lengths).astype(int)) == sorted(room)
+        for b in range(len(room)):
+            at = 0
+            for offset, n in sorted(zip(offsets[bins == b].tolist(), lengths[bins == b].tolist())):
+                assert offset == at
+                at += n
+
+
+def test_best_fit_of_billions_of_pieces_needs_only_their_counts():
+    counts = {n: 10_000_000 + n for n in range(1, 2049)}
+    runs = packing.best_fit_runs(counts, 2048)
+    assert len(runs) < 10_000
+    assert runs[runs[:, 0] == 2048][0].tolist() == [2048, 0, 0, 1, 0]
 
 
 def test_minhash_matches_brute_force(spark):
@@ -362,9 +388,11 @@ def test_minhash_matches_brute_force(spark):
     for k, (i, _) in enumerate(rows):
         assert by[i].component_id == least[top(k)] and by[i].n_shingles == len(sets[k])
         assert by[i].kept == (i == least[top(k)])
-    one = minhash_neardup.keep_one(docs(spark, rows + [(0, rows[0][1])]))
+    more = [(0, rows[0][1]), (900, "a text of its own under an id that comes again"), (None, "no id and no copy"), (None, "no id and no copy")]
+    one = minhash_neardup.keep_one(docs(spark, rows + more))
     assert one.columns == ["doc_id", "text", "score", "host"]
-    assert sorted(r.doc_id for r in one.where("doc_id is not null").collect()) == sorted(set(least.values()))
+    assert sorted((r.doc_id, r.text or "") for r in one.where("doc_id is not null").collect()) == sorted([(i, dict(rows)[i] or "") for i in set(least.values())] + [more[1]])
+    assert [r.text for r in one.where("doc_id is null").collect()] == ["no id and no copy"]
     assert minhash_neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
@@ -374,7 +402,7 @@ def test_odd_sketch_estimates_similarity():
     bits = []
     for share in (1.0, 0.9, 0.75, 0.3):
         y = np.unique(np.concatenate([x[: int(len(x) * 2 * share / (1 + share))], rng.integers(0, 1 << 62, len(x) - int(len(x) * 2 * share / (1 + share)), dtype=np.uint64)]))
-        a, b = minhash_neardup.odd_sketches(np.stack([minhash_neardup.samples(x), minhash_neardup.samples(y)]))
+        a, b = minhash_neardup.odd_sketches(np.stack([minhash_neardup.samples(x), minhash_neardup.samples(y)])).view(np.uint64)
         bits.append(int(np.bitwise_count(a ^ b).sum()))
     assert bits[0] == 0 and bits[0] < bits[1] < bits[2] <= minhash_neardup.most_different_bits(0.75) < bits[3]
 
