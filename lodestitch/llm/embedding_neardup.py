@@ -1,28 +1,34 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference points (pivots) are vectors of a sample of fixed size, taken farthest first and never
-closer than SPREAD: however dense a region, few pivots lie in it, so its vectors are told apart by
-pivots that a pair of near-duplicates sees in almost the same order. Vectors spread less than that
-have few pivots and all meet. A vector is described by its
-NEAREST closest pivots in order of distance; vectors close to each other see the pivots in almost
-the same order. The inverted lists are keyed by SHARED pivots at once: a vector enters the list of
-every SHARED-subset of its description, so two vectors meet in a list exactly if they share at
-least SHARED pivots, and a list stays short although a single pivot's list grows with the corpus.
-Vectors that meet and share enough pivots are verified by their cosine in double precision.
-
-Equal vectors are one class with a count; only classes are indexed. A list of many classes is
-dealt to square cells of bounded size. A pair is taken in one list only, that of the least
-subset it shares, so it is verified once and no pairs are exchanged to remove repeats.
+Reference points (pivots) are vectors of a bounded sample, taken farthest first and never closer
+than SPREAD: however dense a region, few pivots lie in it, so its vectors are told apart by pivots
+that a pair of near-duplicates sees in almost the same order. Vectors spread less than that have
+few pivots and all meet. The number of pivots grows with the square root of the indexed classes, up
+to MAX_PIVOTS, so that lists grow slower than the corpus. A vector is described by its NEAREST
+closest pivots in order of distance.
+
+The inverted lists are keyed by SHARED pivots at once: a vector enters the list of every
+SHARED-subset of its description, so two vectors meet in a list exactly if they share at least
+SHARED pivots. A list of many classes is dealt to square cells of bounded size. In a cell, pivots
+that a pair shares up to the list's greatest one are counted first: a count of SHARED means that
+this list holds the least subset the pair shares, and only there is it a candidate, once. Rows carry
+descriptions so far, no vectors. Nodes with a candidate meet in the same cells once more with
+their vectors, and candidates are verified by their cosine in double precision. What leaves a cell
+are its nodes' numbers of links and a spanning set of them, not all pairs.
+
+Equal vectors are one class with a count; only classes are indexed.
 
 Each label is searched on its own. Nulls: a vector without a label, or that is null, zero, or
 holds a null or non-finite component, links with nothing and is its own component. Vectors of
-different lengths are never linked. Repeated ids are vectors of their own. Empty tables give no
-rows. Only the id, vector and label columns are read.
+different lengths are never linked; lengths too rare for the sample have no pivots and all meet.
+Repeated ids are vectors of their own. A cosine of exactly the threshold (a tie) is a link; of
+pivots at the same distance the lesser comes first. Empty tables give no rows. Only the id, vector
+and label columns are read, so extra columns don't matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,25 +38,34 @@ from pyspark.sql import functions as F
 
 from ._common import cells, components, stored
 
-#: Pivots of a vector length at most (a set of them is the bits of a 64-bit number), taken from the SAMPLE classes of the least hashes.
-PIVOTS, SAMPLE = 64, 2048
+#: Pivots of a vector length: PER_ROOT times the square root of the classes, within these bounds.
+PER_ROOT, MIN_PIVOTS, MAX_PIVOTS = 1, 64, 1024
+#: Classes that pivots are chosen from, those of the least hashes.
+SAMPLE = 4096
 #: Greatest cosine between two pivots.
 SPREAD = 0.7
 #: Pivots in a description, and how many of them a pair must share.
 NEAREST, SHARED = 7, 3
 BLOCK = 1024
-_SUBSETS = np.array(list(combinations(range(NEAREST), SHARED)))
+#: Lists are numbered in this base.
+BASE = 1 << 20
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Scaled by the greatest component first, so that no square leaves the range of doubles."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def spread_pivots(vectors: np.ndarray) -> np.ndarray:
-    """At most PIVOTS of the unit vectors: the first, then each time the one farthest from those taken, while its cosine to them is at most SPREAD."""
+def pivots_for(classes: int) -> int:
+    return int(min(MAX_PIVOTS, max(MIN_PIVOTS, PER_ROOT * classes**0.5)))
+
+
+def spread_pivots(vectors: np.ndarray, most: int) -> np.ndarray:
+    """At most `most` of the unit vectors: the first, then each time the one farthest from those taken, while its cosine to them is at most SPREAD."""
     at = [0]
     near = vectors @ vectors[0]
-    while len(at) < PIVOTS and near[k := int(near.argmin())] <= SPREAD:
+    while len(at) < most and near[k := int(near.argmin())] <= SPREAD:
         at.append(k)
         near = np.maximum(near, vectors @ vectors[k])
     return vectors[at]
@@ -65,8 +80,85 @@ def list_keys(order: np.ndarray) -> np.ndarray:
     """(n, subsets) keys: the pivots of each SHARED-subset of a description, ascending, as one number."""
     if order.shape[1] < SHARED:
         return np.zeros((len(order), 1), np.int64)  # too few pivots to tell vectors apart: one list
-    chosen = np.sort(order, axis=1)[:, _SUBSETS if order.shape[1] == NEAREST else np.array(list(combinations(range(order.shape[1]), SHARED)))]
-    return (chosen * (PIVOTS ** np.arange(SHARED - 1, -1, -1))).sum(axis=2)
+    chosen = np.sort(order, axis=1)[:, np.array(list(combinations(range(order.shape[1]), SHARED)))]
+    return (chosen * (BASE ** np.arange(SHARED - 1, -1, -1))).sum(axis=2)
+
+
+def candidates(order: np.ndarray, key: int, block: np.ndarray, crossed: bool) -> np.ndarray:
+    """(n, n) booleans for the members of a cell of list `key`: the pairs that are candidates there.
+
+    All share the list's SHARED pivots, and so as many at least. Of the pivots up to the greatest of
+    these, a pair that shares no more is in no list of a lesser subset.
+    """
+    n = len(order)
+    if order.shape[1] < SHARED:
+        found = np.ones((n, n), bool)
+    else:
+        low, place = np.unique(order, return_inverse=True)
+        hot = np.zeros((n, len(low)), np.float32)
+        np.put_along_axis(hot, place.reshape(order.shape), 1, axis=1)
+        hot = hot[:, low <= key % BASE]
+        found = hot @ hot.T == SHARED
+    if crossed:
+        found &= block[:, None] != block[None, :]
+    np.fill_diagonal(found, False)
+    return found
+
+
+def verified(found: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """Which candidates (n, n) of unit vectors reach the threshold."""
+    near = np.zeros_like(found)
+    for at in range(0, len(x), 256):
+        some = found[at : at + 256]
+        if some.any():
+            near[at : at + 256] = some & (x[at : at + 256] @ x.T >= threshold - 1e-9)
+    a, b = np.nonzero(np.triu(near))
+    for at in range(0, len(a), 1 << 16):  # the product of blocks sums in an order of its own
+        p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        near[p, q] = near[q, p] = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+    return near
+
+
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what `near` connects."""
+    seen, out = np.zeros(len(near), bool), []
+    for start in np.flatnonzero(near.any(axis=1)).tolist():
+        if not seen[start]:
+            seen[start], open_ = True, [start]
+            while open_:
+                a = open_.pop()
+                new = np.flatnonzero(near[a] & ~seen).tolist()
+                seen[new] = True
+                out += [(a, b) for b in new]
+                open_ += new
+    return out
+
+
+CELL = ["label", "size", "list", "cell_i", "cell_j"]
+MEMBER = "label long, size int, list long, cell_i int, cell_j int, block int, node long, order array<int>"
+
+
+def by_cell(rows: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """What `one` makes of the rows of each cell that has two or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            marks = pdf[CELL].to_numpy()
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+            found = [out for lo, hi in zip(edges[:-2], edges[1:-1]) if hi - lo > 1 and (out := one(pdf.iloc[lo:hi])) is not None]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+            held = pdf.iloc[edges[-2] :]  # the last cell may go on in the next batch
+        if held is not None and len(held) > 1 and (out := one(held)) is not None:
+            yield out
+
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(run, schema)
+
+
+def _candidates_of(cell: pd.DataFrame) -> np.ndarray:
+    return candidates(np.stack(cell["order"].to_numpy()), int(cell["list"].iat[0]), cell["block"].to_numpy(), cell["cell_i"].iat[0] != cell["cell_j"].iat[0])
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,13 +172,14 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", "class"), stored(classes.withColumn("node", F.monotonically_increasing_id()))
 
 
-def class_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (u, v), u < v, between classes (node, label, vec), each once."""
-    spark = classes.sparkSession
-    drawn = classes.select("vec", F.xxhash64("class").alias("h")).orderBy("h", "vec").limit(SAMPLE).collect()
-    sizes = sorted({len(r["vec"]) for r in drawn})
-    by_size = {d: spread_pivots(unit(np.array([r["vec"] for r in drawn if len(r["vec"]) == d]))) for d in sizes}
-    shared = spark.sparkContext.broadcast(by_size)
+def described(classes: DataFrame) -> DataFrame:
+    """(node, label, copies, size, order, lists, unit) of every class; pivots come from a bounded sample and are broadcast."""
+    drawn = classes.select("vec", F.xxhash64("class").alias("h")).orderBy("h", "vec").limit(SAMPLE).toArrow()["vec"].combine_chunks()
+    starts, values = drawn.offsets.to_numpy(), drawn.values.to_numpy()
+    found = [values[a:b] for a, b in zip(starts[:-1], starts[1:])]
+    most = pivots_for(classes.count())
+    by_size = {d: spread_pivots(unit(np.array([v for v in found if len(v) == d])), most) for d in sorted({len(v) for v in found})}
+    shared = classes.sparkSession.sparkContext.broadcast(by_size)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -94,59 +187,42 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
             for d, own in pdf.groupby(lengths):
                 x = unit(np.stack(own["vec"].to_numpy()))
                 order = describe(x, shared.value.get(d, np.empty((0, d))))
-                yield pd.DataFrame({"node": own["node"], "label": own["label"], "size": d, "order": list(order.astype(np.int32)), "lists": list(list_keys(order)), "unit": list(x)})
-
-    described = classes.select("node", "label", "vec").mapInPandas(index, "node long, label long, size int, order array<int>, lists array<long>, unit array<double>")
-    listed = described.select("node", "label", "size", "order", "unit", F.explode("lists").alias("list"))
-    key = ["label", "size", "list"]
-    dealt = cells(listed, key, F.xxhash64("node"), BLOCK).repartition(*key, "cell_i", "cell_j").sortWithinPartitions(*key, "cell_i", "cell_j")
-
-    def pairs(own: pd.DataFrame) -> pd.DataFrame | None:
-        node, x, order = own["node"].to_numpy(), np.stack(own["unit"].to_numpy()), np.stack(own["order"].to_numpy())
-        near = np.triu(x @ x.T >= threshold - 1e-9, 1)
-        if own["cell_i"].iat[0] != own["cell_j"].iat[0]:
-            block = own["block"].to_numpy()
-            near &= block[:, None] != block[None, :]
-        a, b = np.nonzero(near)
-        if not len(a):
+                yield pd.DataFrame({"node": own["node"], "label": own["label"], "copies": own["copies"], "size": d, "order": list(order.astype(np.int32)), "lists": list(list_keys(order)), "unit": list(x)})
+
+    return classes.select("node", "label", "copies", "vec").mapInPandas(index, "node long, label long, copies long, size int, order array<int>, lists array<long>, unit array<double>")
+
+
+def class_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, n) between classes (node, label, copies, vec). Rows with v >= 0 are links that connect every component; with
+    v = -1 n is the copies of classes that u is linked with, to be summed."""
+    members = stored(described(classes))
+    listed = members.select("node", "label", "size", "order", F.explode("lists").alias("list"))
+    dealt = cells(listed, ["label", "size", "list"], F.xxhash64("node"), BLOCK)
+
+    def retrieve(cell: pd.DataFrame) -> pd.DataFrame | None:
+        some = _candidates_of(cell).any(axis=1)
+        return cell[some] if some.any() else None
+
+    def verify(cell: pd.DataFrame) -> pd.DataFrame | None:
+        near = verified(_candidates_of(cell), np.stack(cell["unit"].to_numpy()), threshold)
+        some = near.any(axis=1)
+        if not some.any():
             return None
-        # the shared-pivot count, and the one list in which the pair is taken
-        at = int(own["list"].iat[0])
-        if order.shape[1] >= SHARED:
-            bits = np.bitwise_or.reduce(np.uint64(1) << order.astype(np.uint64), axis=1)
-            own = [at // PIVOTS**k % PIVOTS for k in range(SHARED)]  # the greatest pivot first
-            upto, subset = np.uint64((2 << own[0]) - 1), np.uint64(sum(1 << k for k in own))
-            ok = bits[a] & bits[b] & upto == subset
-            a, b = a[ok], b[ok]
-        exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-        u, v = node[a[exact]], node[b[exact]]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    cell = [*key, "cell_i", "cell_j"]
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            marks = pdf[cell].to_numpy()
-            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
-            for lo, hi in zip(edges[:-2], edges[1:-1]):  # the last cell may go on in the next batch
-                if hi - lo > 1 and (out := pairs(pdf.iloc[lo:hi])) is not None:
-                    yield out
-            held = pdf.iloc[edges[-2] :]
-        if held is not None and len(held) > 1 and (out := pairs(held)) is not None:
-            yield out
+        node, others = cell["node"].to_numpy(), near @ cell["copies"].to_numpy()
+        links = np.array(spanning(near))
+        return pd.DataFrame({"u": np.concatenate([node[links[:, 0]], node[some]]), "v": np.concatenate([node[links[:, 1]], np.full(some.sum(), -1)]), "n": np.concatenate([np.zeros(len(links), np.int64), others[some]])})
 
-    return dealt.select(*cell, "block", "node", "order", "unit").mapInPandas(search, "u long, v long")
+    columns = [c.split()[0] for c in MEMBER.split(", ")]
+    met = stored(by_cell(dealt.select(*columns), retrieve, MEMBER))
+    return by_cell(met.join(members.select("node", "copies", "unit"), "node").select(*columns, "copies", "unit"), verify, "u long, v long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; kept vectors have the least id of their component."""
     rows, classes = classes_of(vectors)
     linked = stored(class_links(classes, threshold))
-    both = linked.unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    others = both.join(classes.select(F.col("node").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
-    roots = components(linked)
+    others = linked.where("v < 0").groupBy("u").agg(F.sum("n").alias("others"))
+    roots = components(linked.where("v >= 0").select("u", "v"))
     named = classes.select("class", "node", "copies").join(others, F.col("node") == F.col("u"), "left").drop("u").join(roots, "node", "left")
     named = named.select("class", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     out = stored(rows.join(named, "class", "left"))

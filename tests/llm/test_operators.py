@@ -287,6 +287,51 @@ def test_embeddings_of_a_dense_group_are_linked(spark, share):
     assert sum(got.values()) >= 0.9 * links.sum()
 
 
+def test_embeddings_against_brute_force_at_sizes(spark):
+    rng = np.random.default_rng(11)
+    for n in (300, 2500):
+        x = rng.normal(size=(n, 32))
+        x[1::4] = x[::4][: len(x[1::4])] + rng.normal(size=(len(x[1::4]), 32)) * 0.15
+        x[: n // 10] = x[0] + rng.normal(size=(n // 10, 32)) * 0.12
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = (u @ u.T >= 0.98) & ~np.eye(n, dtype=bool)
+        root = list(range(n))
+        for a in range(n):  # least reachable number, breadth first
+            if root[a] == a:
+                open_ = [a]
+                while open_:
+                    for b in np.flatnonzero(near[open_.pop()]).tolist():
+                        if root[b] > a:
+                            root[b] = a
+                            open_.append(b)
+        df = spark.createDataFrame([(k, rows_like(v), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+        got = {r.vec_id: r for r in embedding_neardup.near_duplicates(df).collect()}
+        recall = sum(r.n_links for r in got.values()) / near.sum()
+        assert recall >= 0.99 and all(got[k].n_links <= near[k].sum() for k in range(n))
+        assert sum(got[k].component_id != root[k] for k in range(n)) <= 0.01 * n
+
+
+def test_embeddings_ties_repeats_and_huge_numbers(spark):
+    rows = [(1, [1e300, 1e300], 0), (1, [1e300, 1e300], 0), (2, [5e-324, 0.0], 0), (3, [1.0, 0.0], 0), (4, [1.0, 1.0], 0), (4, [-1.0, 0.0], 0), (5, [float("inf"), 0.0], 0), (6, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_neardup.near_duplicates(df, 1.0 - 1e-12).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 1, 2), (3, 1, 2), (4, 0, 4), (4, 2, 1), (5, 0, 5), (6, 0, 6)]
+    found = embedding_neardup.verified(~np.eye(3, dtype=bool), np.array([[1.0, 0.0], [0.5, 0.75**0.5], [1.0, 0.0]]), 0.5)
+    assert found[0, 1] and found[0, 2]  # a cosine of exactly the threshold
+
+
+def test_cells_of_the_index_take_a_pair_once():
+    rng = np.random.default_rng(2)
+    order = np.array([rng.choice(12, 7, replace=False) for _ in range(40)])
+    lists = embedding_neardup.list_keys(order)
+    met = np.zeros((40, 40), int)
+    for key in np.unique(lists):
+        own = np.flatnonzero((lists == key).any(axis=1))
+        met[np.ix_(own, own)] += embedding_neardup.candidates(order[own], int(key), np.zeros(len(own)), False)
+    shared = np.array([[len(set(a) & set(b)) for b in order.tolist()] for a in order.tolist()])
+    assert ((met == 1) == ((shared >= 3) & ~np.eye(40, dtype=bool))).all() and met.max() == 1
+
+
 def rows_like(v):
     return [float(a) for a in v]
 
