@@ -31,7 +31,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.entries_of(spark, RULES, LISTED))
+    listed = url_filter.listed_entries(spark.createDataFrame([(u,) for u in LISTED], "url string"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_entries(spark, RULES).unionByName(listed))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +88,9 @@ ORACLE_SQL = {
     "op2_url_filter": f"""
 with entries(host, path, verdict, is_rule) as (values {", ".join(f"('{h}', '{p}', '{v}', true)" for v, h, p in RULES)}, {", ".join(f"('{u.partition('/')[0]}', '/{u.partition('/')[2]}', 'block', false)" for u in LISTED)}),
 parted as (select row_number() over () as r, page_id, translate(coalesce(regexp_extract(url, {_PARTS}, 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') as host, coalesce(regexp_extract(url, {_PARTS}, 2), '') as path from pages),
+hosts as (select *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '[.]$', '') as canonical from parted),
 fits as (select p.r, e.host || e.path as url, e.verdict, e.is_rule, row_number() over (partition by p.r, e.is_rule order by length(e.host || e.path) desc) as k
-         from parted p join entries e on (p.host = e.host or suffix(p.host, '.' || e.host)) and starts_with(p.path, e.path))
+         from hosts p join entries e on (case when e.is_rule then p.host else p.canonical end = e.host or suffix(case when e.is_rule then p.host else p.canonical end, '.' || e.host)) and starts_with(p.path, e.path))
 select p.page_id, p.host, p.path, f.url as rule, coalesce(f.verdict, case when l.r is not null then 'block' else 'allow' end) as verdict, l.r is not null as listed
 from parted p left join fits f on f.r = p.r and f.is_rule and f.k = 1 left join fits l on l.r = p.r and not l.is_rule and l.k = 1
 """,

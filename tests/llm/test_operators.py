@@ -115,18 +115,53 @@ def plain_verdict(url, rules):
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://Example.ORG/es/a?x#y", "http://a.example.org/en/12", "https://x.com/fr/", "https://x.com/de/1", "http://com", "http://org", "http://xorg/", "http://b.org?/es/", "a://b://c.org/", "http://é.com/fr/\nq", "http://..com/de/", "http://cheap-pills.example.com/en/", "http://" + "a." * 3000 + "org/"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls + urls[4:6])] + [(None, urls[4], None)], "page_id long, url string, host string")
-    got = url_filter.judge(pages, url_filter.entries_of(spark, queries.RULES, queries.LISTED)).collect()
+    entries = url_filter.rule_entries(spark, queries.RULES).unionByName(url_filter.listed_entries(spark.createDataFrame([(u,) for u in queries.LISTED], "url string")))
+    got = url_filter.judge(pages, entries).collect()
     assert len(got) == len(urls) + 3
     for r in got:
         host, path, fit = plain_verdict(urls[4] if r.page_id is None else (urls + urls[4:6])[r.page_id], queries.RULES)
         listed = plain_verdict(None, [])[2] is None and host.endswith("cheap-pills.example.com")
         assert (r.host, r.path, r.rule) == (host, path, fit and fit[1])
         assert r.verdict == (fit[2] if fit else "block" if listed else "allow")
-    assert url_filter.judge(pages.limit(0), url_filter.entries_of(spark, queries.RULES, [])).count() == 0
-    none = url_filter.judge(pages, url_filter.entries_of(spark, queries.RULES, []).limit(0))
+    assert url_filter.judge(pages.limit(0), entries).count() == 0
+    none = url_filter.judge(pages, entries.limit(0))
     assert {r.verdict for r in none.collect()} == {"allow"}
 
 
+def test_url_entries_repeated_null_and_canonical(spark):
+    rules = [("block", "a.com", "/x"), ("allow", "a.com", "/x"), ("block", "a.com", "/x/y"), ("block", "b.com", ""), (None, "c.com", "/"), ("block", None, "/"), ("block", "", "/")]
+    listed = spark.createDataFrame([("https://User@Spam.Example.:8080/ads",), ("spam.example/ads",), (None,), ("",), ("bad.example",)], "url string")
+    entries = url_filter.rule_entries(spark, rules).unionByName(url_filter.listed_entries(listed))
+    want = {
+        "http://a.com/x": ("a.com/x", "allow"), "http://a.com/x/yz": ("a.com/x/y", "block"), "http://a.com/": (None, "allow"), "http://q.b.com": ("b.com", "block"), "http://c.com/": (None, "allow"),
+        "http://a.com:80/x": (None, "allow"), "http://spam.example:99/ads/1": (None, "block"), "http://me@www.spam.example./adsense": (None, "block"), "http://spam.example/ad": (None, "allow"),
+        "ftp://bad.example?q": (None, "block"), "http://notbad.example/": (None, "allow"), "http:///x": (None, "allow"),
+    }
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(want)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, entries).collect()}
+    assert {u: got[k] for k, u in enumerate(want)} == want
+
+
+def test_a_list_of_many_urls_exchanges_only_possible_hits(spark):
+    listed = spark.range(100_000).select(F.concat(F.lit("h"), F.col("id") % 5000, F.lit(".example/p"), F.col("id")).alias("url"))
+    pages = spark.range(30_000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("https://www.h"), F.col("id") % 5000, F.lit(".example:443/p"), "id", F.lit("?q"))).otherwise(F.concat(F.lit("https://clean"), "id", F.lit(".example/p1"))).alias("url"))
+    judged = url_filter.judge(pages, url_filter.listed_entries(listed))
+    got = {r.page_id: r.listed for r in judged.collect()}
+    assert len(got) == 30_000 and all(got[k] == (k % 100 == 0) for k in got)
+    assert 300 <= url_filter.possible(pages, url_filter.keyed(url_filter.listed_entries(listed))).where("size(hits) > 0").count() <= 600
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+    def names(node):
+        yield node.nodeName()
+        for k in range(node.children().size()):
+            yield from names(node.children().apply(k))
+
+    union = judged._jdf.queryExecution().optimizedPlan()
+    assert union.nodeName() == "Union" and "Join" in set(names(union))
+    assert not {"Join", "Aggregate", "Generate"} & set(names(union.children().apply(0)))  # pages without a possible hit
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = stored(spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key")))
     masks = url_filter.bloom_filter(keys, F.col("key"), 1024)
