@@ -1,24 +1,27 @@
 """Quality rules by hashed n-gram likelihood ratios; built-in functions only.
 
 Word unigrams and bigrams are counted into BUCKETS hashed buckets, once for the raw corpus (every
-document) and once for a trusted target. Each distinct text counts once in either, so copies don't
-move the scores; texts that differ in a word count as different. Both counts give a multinomial
-(smoothed by one count a bucket); a bucket weighs the logarithm of the target's probability over
-the raw one's. A document scores the mean weight of its n-grams, so its length plays no part, and
-is kept if the score reaches a threshold. A part of the trusted texts isn't counted: like a good
-document without a label, these are in the raw counts only, and the threshold lies below their
-scores. Before that stand plain rules: too few words, or most words in repeated three-word windows.
-
-Both counts cover all their documents and whole texts. A document's n-grams are counted within
-its task before anything is exchanged, and the weights are one array of fixed size. Trusted texts are
-found by id: a blocked Bloom filter of fixed size drops most others in the scan, an exact
-semi-join the rest. Texts that come again are found likewise by their hash, and what they were
-counted beyond once is taken off.
+document) and once for a trusted target. Texts that are copies or near copies of each other share
+the weight of one text in either, so large groups don't move the scores: a text's group is as large
+as the number of texts with its least, or with its greatest, five-word hash, whichever is more
+common (two MinHash samples). Both counts give a multinomial (smoothed by one count a bucket); a
+bucket weighs the logarithm of the target's probability over the raw one's. A document scores the
+mean weight of its n-grams, so its length plays no part, and is kept if the score reaches a
+threshold. A part of the trusted texts isn't counted: like a good document without a label, these
+are in the raw counts only, and the threshold lies below their scores. Before that stand plain
+rules: too few words, or most words in repeated three-word windows.
+
+Both counts cover all their documents and whole texts. A document's n-grams are counted within its
+task before anything is exchanged, and the weights are one array of fixed size. Trusted texts are
+found by id: a blocked Bloom filter of fixed size drops most others in the scan, an exact semi-join
+the rest. Texts of groups are found likewise by their two samples, and what they were counted too
+much is taken off.
 
 Nulls: a null text counts as empty and fails the plain rules. Rows without an id are judged, and
-never trusted. Repeated rows are judged each. With no trusted
-document every weight is the logarithm of a uniform probability over the raw one. Empty tables
-give no rows. Only the id and text columns are read.
+never trusted. Repeated rows are judged each, and count once together. Very long texts count whole.
+A score of exactly the threshold (a tie) is kept. With no trusted document every weight is the
+logarithm of a uniform probability over the raw one. Empty tables give no rows. Only the id and text
+columns are read, so extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
 from .url_filter import bloom_filter, may_contain
 
 BUCKETS = 1 << 14
@@ -40,6 +44,8 @@ MIN_WORDS = 50
 #: Percent of words in repeated windows above which a document fails.
 MAX_REPEATED = 50
 WINDOW = 3
+#: Words of the runs that tell copies, and what one text counts: shares of it stay whole numbers, so that sums are exact.
+RUN, ONE = 5, 1 << 20
 FILTER_WORDS = 1 << 17
 #: The white space that parts words, as a class of Java's patterns.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -85,14 +91,24 @@ def left_out(text: Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit(LEFT_OUT)), F.lit(LEFT_OUT)) == 0
 
 
-def _surplus(docs: DataFrame, ids: DataFrame, counts: Column) -> DataFrame:
-    """(text, raw, own) of texts that come more than once: how often they are counted beyond once, as numbers below zero."""
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    keys = docs.select(h.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    again = docs.where(may_contain(bloom_filter(keys, F.col("key"), FILTER_WORDS), h, FILTER_WORDS))
-    both = again.select("text", F.lit(1).alias("n"), F.lit(0).alias("own")).unionByName(_target(again, ids).where(counts).select("text", F.lit(0).alias("n"), F.lit(1).alias("own")))
-    texts = both.groupBy("text").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).where("n > 1")
-    return texts.select("text", (1 - F.col("n")).alias("raw"), F.least(1 - F.col("own"), F.lit(0)).alias("own"))
+def sampled(docs: DataFrame) -> DataFrame:
+    """Adds least and most: the extreme hashes of a text's runs of RUN words; of a shorter text its own hash."""
+    rows = worded(docs)
+    hashes = F.col("__hashes")
+    runs = F.transform(F.slice(hashes, RUN, F.greatest(F.size(hashes) - (RUN - 1), F.lit(0))), lambda h, i: F.xxhash64(*[F.get(hashes, i + k) for k in range(RUN - 1)], h))
+    own = F.when(F.size(hashes) < RUN, F.array(F.xxhash64("__text"))).otherwise(runs)
+    return rows.withColumn("__runs", own).select(*docs.columns, F.array_min("__runs").alias("least"), F.array_max("__runs").alias("most"))
+
+
+def _surplus(docs: DataFrame) -> DataFrame:
+    """(text, n) of texts that have copies: what they weigh less than one text each, as numbers below zero."""
+    rows = sampled(docs.select("text"))
+    pairs = stored(rows.groupBy("least", "most").agg(F.count(F.lit(1)).alias("n")))
+    sizes = [pairs.groupBy(c).agg(F.sum("n").alias(f"{c}_n")) for c in ("least", "most")]
+    shared = pairs.join(sizes[0], "least").join(sizes[1], "most").select("least", "most", F.greatest("least_n", "most_n").alias("group")).where("group > 1")
+    shared = stored(shared.withColumn("key", F.xxhash64("least", "most")))
+    again = rows.where(may_contain(bloom_filter(shared, F.col("key"), FILTER_WORDS), F.xxhash64("least", "most"), FILTER_WORDS))
+    return again.join(shared, ["least", "most"]).select("text", (F.floor(F.lit(ONE) / F.col("group")) - ONE).cast("bigint").alias("n"))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, leave_out: bool = False) -> DataFrame:
@@ -100,16 +116,19 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, leave_o
 
     trusted: (doc_id) of the trusted documents; ids may repeat. leave_out: not the left-out ones of them.
     """
-    ids = _ids(trusted)
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    counts = ~left_out(F.col("text")) if leave_out else F.lit(True)
-    target = _target(docs, ids).where(counts)
-    parts = [docs.select("text", one.alias("raw"), none.alias("own")), target.select("text", none.alias("raw"), one.alias("own")), _surplus(docs, ids, counts)]
+    target = _target(docs, _ids(trusted))
+    target = stored(target.where(~left_out(F.col("text"))) if leave_out else target)
+    one, none = F.lit(ONE).cast("bigint"), F.lit(0).cast("bigint")
+    parts = [
+        docs.select("text", one.alias("raw"), none.alias("own")), _surplus(docs).select("text", F.col("n").alias("raw"), none.alias("own")),
+        target.select("text", none.alias("raw"), one.alias("own")), _surplus(target).select("text", none.alias("raw"), F.col("n").alias("own")),
+    ]
     grams = reduce(DataFrame.unionByName, [_counted(part, buckets) for part in parts])
     sums = grams.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own"))
-    dense = docs.sparkSession.range(buckets).join(sums, F.col("id") == F.col("bucket"), "left").select(F.col("id").cast("int").alias("bucket"), (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), (F.coalesce("own", F.lit(0)) + 1).alias("own"))
-    total = dense.agg(F.sum("raw").cast("double").alias("raw_total"), F.sum("own").cast("double").alias("own_total"))
-    return dense.join(F.broadcast(total)).select("bucket", F.round(F.log(F.col("own") / F.col("own_total")) - F.log(F.col("raw") / F.col("raw_total")), 5).alias("weight"))
+    smooth = lambda c: (F.coalesce(c, F.lit(0)) / F.lit(ONE) + 1).alias(c)
+    dense = stored(docs.sparkSession.range(buckets).join(sums, F.col("id") == F.col("bucket"), "left").select(F.col("id").cast("int").alias("bucket"), smooth("raw"), smooth("own")))
+    share = lambda c: F.log(F.col(c) / dense.agg(F.sum(c)).scalar())
+    return dense.select("bucket", F.round(share("own") - share("raw"), 5).alias("weight"))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -120,23 +139,21 @@ def measures(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__lines", lines)
     windows = F.transform(F.slice(hashes, WINDOW, F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0))), lambda h, i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), h))
     rows = rows.withColumn("__windows", windows)
-    # Most texts repeat no window and end here. In the others a window's hash gives its upper bits and its place the lower ones: sorted, equal windows are neighbours.
+    # Most texts repeat no window and end here. In the others (hash, place) are sorted: equal windows are neighbours.
     some = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    rows = rows.withColumn("__low", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(n)).cast("int")) - 1)
-    packed = F.transform("__windows", lambda h, i: h.bitwiseAND(F.bitwise_not(F.col("__low"))).bitwiseOR(i.cast("bigint")))
-    rows = rows.withColumn("__sorted", F.when(some, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")))
-    words, low, own = F.col("__words"), F.col("__low"), F.col("__sorted")
+    placed = F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+    rows = rows.withColumn("__sorted", F.when(some, F.sort_array(placed)).otherwise(F.array().cast("array<struct<h:bigint,at:int>>")))
+    words, own = F.col("__words"), F.col("__sorted")
 
     def same(x: Column, y: Column) -> Column:
         """Neighbours whose windows are the same words; words are compared only where the hashes agree."""
-        a, b = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
-        out = x.bitwiseXOR(y).between(0, low)
+        out = x["h"] == y["h"]
         for k in range(WINDOW):
-            out = out & (F.get(words, a + k) == F.get(words, b + k))
+            out = out & (F.get(words, x["at"] + k) == F.get(words, y["at"] + k))
         return out
 
     twice = F.filter(own, lambda x, i: F.coalesce(same(x, F.get(own, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(own, i - 1)), F.lit(False)))
-    rows = rows.withColumn("__at", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low))))
+    rows = rows.withColumn("__at", F.sort_array(F.transform(twice, lambda x: x["at"].cast("bigint"))))
     at = F.col("__at")
     covered = F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(WINDOW).cast("bigint"), F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW).cast("bigint")))), F.lit(0).cast("bigint"), lambda a, x: a + x)
     rows = (
