@@ -4,15 +4,19 @@ A text is the average of the vectors of its words and of the character n-grams o
 each found in a table of learned rows by a hash; a softmax layer on the average gives a
 probability per label. Both tables are learned together by stochastic gradient descent in numpy.
 
-Labels are learned from at most SAMPLE labelled rows, those with the least hash of their id, so
-the sample is the same wherever it is drawn; their whole texts count. Every row of the table is
-then scored over its whole text. Scoring needs only the product of both tables (one number per
-row and label), and a word that was seen before costs one lookup.
+Labels are learned from a bounded sample of the labelled rows that have a document: those with the
+least hash of their id, at most SAMPLE rows and, in that order, at most SAMPLE_BYTES of features
+(the first row always counts). So the sample is the same wherever it is drawn; its rows' whole
+texts count. Every row of the table is then scored over its whole text. Scoring needs only the
+product of both tables (one number per row and label), and a word that was seen before costs one
+lookup.
 
 Nulls: a null text counts as empty; an empty text has an average of zero and so the score of the
 layer's bias. Rows without an id are scored and never learned from. Labels that are null are left
-out; an id with several labels takes their rounded mean. Repeated rows are scored each. With no
-labels at all the score is 0.5. Empty tables give no rows. Only the id and text columns are read.
+out; an id with several labels takes their rounded mean, and of an id with several texts the least
+is learned from. Repeated rows are scored each, alike. Very long texts count whole. A score of
+exactly the threshold (a tie) counts as reached. With no labels at all the score is 0.5. Empty tables
+give no rows. Only the id and text columns are read, so extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,10 +31,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
+
 #: Labelled rows that are learned from at most.
 SAMPLE = 4000
+#: Bytes of their features that the driver holds at most.
+SAMPLE_BYTES = 32_000_000
 BUCKETS = 1 << 17
-GRAMS = (3,)
+#: Lengths of the character n-grams.
+GRAMS = (3, 4, 5)
 #: Words whose sums a worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 1_000_000
 
@@ -54,15 +63,6 @@ def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(rows)
 
 
-#: The row of a word pair whose two words are the same.
-AGAIN = zlib.crc32(b"= =") % BUCKETS
-
-
-def repeats(words: list[str]) -> int:
-    """Neighbouring pairs of the same word."""
-    return sum(map(str.__eq__, words, words[1:]))
-
-
 @dataclass
 class Model:
     """weights[bucket, label]: what one occurrence adds to a label before averaging."""
@@ -78,16 +78,10 @@ def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     times = Counter(words)
     places, rows = buckets_of(list(times))
     counts = np.fromiter(times.values(), np.float64, len(times))[places]
-    if again := repeats(words):
-        rows, counts = np.append(rows, AGAIN), np.append(counts, again * REPEAT_WEIGHT)
     rows, inverse = np.unique(rows, return_inverse=True)
     return rows.astype(np.int32), np.bincount(inverse, counts, len(rows)).astype(np.float32)
 
 
-#: A repeated pair counts as this many occurrences, about as many as a word has.
-REPEAT_WEIGHT = 8
-
-
 def train(rows: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, dim: int = 16, epochs: int = 8, rate: float = 0.4, seed: int = 7) -> Model:
     """Stochastic gradient descent on the softmax loss, a document at a time, at a falling rate."""
     kinds = sorted(set(labels.tolist()))
@@ -139,10 +133,8 @@ class Scorer(dict):
         words = text.split()
         if new := list(dict.fromkeys(w for w in words if w not in self)):
             self.learn(new)
-        again = repeats(words) * REPEAT_WEIGHT
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.counts[at].sum() + again
-        z = self.model.bias + (self.sums[at].sum(axis=0) + again * self.model.weights[AGAIN]) / max(1.0, total)
+        z = self.model.bias + self.sums[at].sum(axis=0) / max(1.0, self.counts[at].sum())
         p = np.exp(z - z.max())
         return p / p.sum()
 
@@ -150,17 +142,18 @@ class Scorer(dict):
 _SCORERS: dict[str, Scorer] = {}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, usable: Column | None = None) -> Model | None:
-    """Learn from at most `sample` labelled rows among those `usable`; None if there is none.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, usable: Column | None = None, most_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Learn from at most `sample` labelled rows, and `most_bytes` of features, among those `usable` that have a document; None if there is none.
 
     Only that bounded sample of labels is broadcast, and only its features come to the driver.
     """
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where("id is not null and y is not null")
+    known = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label).alias("y")).where("id is not null and y is not null")
     if usable is not None:
         known = known.where(usable)
     known = known.groupBy("id").agg(F.round(F.avg("y")).cast("int").alias("y"))
-    drawn = known.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    there = docs.select(F.col("doc_id").cast("bigint").alias("id"))
+    drawn = known.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     if not drawn:
         return None
     chosen = spark.createDataFrame([(int(r["id"]), int(r["y"])) for r in drawn], "id long, y int")
@@ -172,10 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             found = [text_features(t) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "rows": [f[0].tobytes() for f in found], "counts": [f[1].tobytes() for f in found]})
 
+    found = stored(texts.mapInPandas(run, "id long, y int, rows binary, counts binary"))
+    size = dict(found.select("id", F.length("rows") + F.length("counts")).collect())
+    spent = np.cumsum([size[r["id"]] for r in drawn])
+    taken = [r["id"] for k, r in enumerate(drawn) if not k or spent[k] <= most_bytes]
     # bytes, read in place: the sample is held once on the driver
-    got = sorted(texts.mapInPandas(run, "id long, y int, rows binary, counts binary").collect(), key=lambda r: r["id"])
-    if not got:
-        return None
+    got = sorted(found.join(F.broadcast(spark.createDataFrame([(i,) for i in taken], "id long")), "id", "left_semi").collect(), key=lambda r: r["id"])
     return train([np.frombuffer(r["rows"], np.int32) for r in got], [np.frombuffer(r["counts"], np.float32) for r in got], np.array([r["y"] for r in got]))
 
 

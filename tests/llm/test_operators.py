@@ -99,6 +99,53 @@ def test_scorer_equals_the_features_average():
         assert quality_classifier.Scorer(model).probabilities(t) == pytest.approx(p / p.sum(), abs=1e-6)
 
 
+def test_training_equals_a_plain_loop():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd"][k % 2 :: 2] + ["ee"], k=5)) for k in range(6)]
+    found, y, dim, epochs, rate = [quality_classifier.text_features(t) for t in texts], [k % 2 for k in range(6)], 4, 3, 0.4
+    model = quality_classifier.train([f[0] for f in found], [f[1] for f in found], np.array(y), dim, epochs, rate, 3)
+    draw = np.random.default_rng(3)
+    table = draw.uniform(-1 / dim, 1 / dim, (quality_classifier.BUCKETS, dim)).astype(np.float32)
+    used = {int(r): [float(x) for x in table[r]] for f in found for r in f[0]}
+    out, bias, step = [[0.0] * dim for _ in range(2)], [0.0, 0.0], 0
+    for _ in range(epochs):
+        for k in draw.permutation(len(texts)).tolist():
+            lr, step = rate * (1 - step / (epochs * len(texts))), step + 1
+            rows, counts = found[k][0].tolist(), found[k][1].tolist()
+            share = [c / sum(counts) for c in counts]
+            mean = [sum(w * used[r][d] for w, r in zip(share, rows)) for d in range(dim)]
+            z = [sum(out[c][d] * mean[d] for d in range(dim)) + bias[c] for c in range(2)]
+            p = [np.exp(v) / sum(np.exp(z)) - (c == y[k]) for c, v in enumerate(z)]
+            back = [sum(p[c] * out[c][d] for c in range(2)) for d in range(dim)]
+            for c in range(2):
+                bias[c] -= 0.1 * lr * p[c]
+                out[c] = [out[c][d] - lr * p[c] * mean[d] for d in range(dim)]
+            for w, r in zip(share, rows):
+                used[r] = [used[r][d] - lr * len(rows) ** 0.5 * w * back[d] for d in range(dim)]
+    for r, v in used.items():
+        assert model.weights[r] == pytest.approx([sum(v[d] * out[c][d] for d in range(dim)) for c in range(2)], abs=1e-4)
+    assert model.bias == pytest.approx(bias, abs=1e-5)
+
+
+def test_features_are_words_and_their_character_ngrams():
+    assert not hasattr(quality_classifier, "AGAIN")
+    rows, counts = quality_classifier.text_features("abcd abcd")
+    assert counts.sum() == 2 * (1 + 4 + 3 + 2)  # the word; <ab abc bcd cd>; <abc abcd bcd>; <abcd abcd>
+    once = quality_classifier.text_features("abcd")
+    assert once[0].tolist() == rows.tolist() and (2 * once[1]).tolist() == counts.tolist()
+
+
+def test_classifier_sample_is_drawn_from_documents_and_bounded_in_bytes(spark):
+    rows = [(k, ("good words here " if k % 2 else "$$$ %%% ") * 20) for k in range(40)] + [(41, LONG)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(5000)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(docs(spark, rows), labels, sample=30)
+    assert model is not None and model.labels == [0, 1]
+    few = quality_classifier.fit(docs(spark, rows), labels, most_bytes=1)
+    assert few is not None and len(few.labels) == 1
+    none = spark.createDataFrame([(k, 1, 0) for k in range(1000, 1050)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.fit(docs(spark, rows), none) is None
+
+
 def plain_verdict(url, rules):
     if url is None or "://" not in url:
         return "", "", None
@@ -258,15 +305,56 @@ def test_quality_rules(spark):
     assert quality_rules.keep_good(docs(spark, rows), trusted).columns == ["doc_id", "text", "score", "host"]
 
 
-def test_llr_equals_a_plain_model(spark):
-    texts = ["a b c", "a b b", "x y z x"]
-    rows = docs(spark, list(enumerate(texts)))
-    found = dict(quality_rules.weights(rows, spark.createDataFrame([(0,)], "doc_id long"), 64).collect())
-    hashed = rows.select("doc_id", F.explode(quality_rules.ngrams(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))).alias("g")).select("doc_id", quality_rules.bucket(F.col("g"), 64).alias("b")).collect()
-    raw, own = Counter(r.b for r in hashed), Counter(r.b for r in hashed if r.doc_id == 0)
-    for b in range(64):
-        want = np.log((own[b] + 1) / (sum(own.values()) + 64)) - np.log((raw[b] + 1) / (sum(raw.values()) + 64))
-        assert found[b] == pytest.approx(want, abs=1e-5)
+def test_llr_and_kept_equal_a_plain_model(spark):
+    """Weights, scores and verdicts of every document from counts in Python; the hashes are Spark's."""
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(90)]
+    texts = [" ".join(rng.choices(words[: 60 if k % 3 else 90], k=70)) for k in range(40)] + ["v1 v2", None, " ".join(["$"] + rng.choices(["x", "y", "z"], k=60))]
+    texts += [texts[0]] * 6 + [texts[1].replace("v1 ", "q ", 1)] * 3
+    rows, good = docs(spark, list(enumerate(texts))), [k for k in range(40) if k % 3] + [44, 45]
+    trusted = spark.createDataFrame([(k,) for k in good], "doc_id long")
+    marked = quality_rules.sampled(quality_rules.worded(rows.select("doc_id", "text")).select("doc_id", "text", quality_rules.left_out(F.col("text")).alias("out"), quality_rules.ngrams(F.col("__hashes")).alias("grams")))
+    got = {r.doc_id: (r.out, [g % 64 for g in r.grams], r.least, r.most) for r in marked.collect()}
+
+    def shares(ids):
+        least, most = Counter(got[i][2] for i in ids), Counter(got[i][3] for i in ids)
+        return {i: 1 / max(least[got[i][2]], most[got[i][3]]) for i in ids}
+
+    def counts(ids):
+        out = Counter({b: 1.0 for b in range(64)})
+        for i, w in shares(ids).items():
+            for g in got[i][1]:
+                out[g] += w
+        return out
+
+    raw, own = counts(list(got)), counts([i for i in good if not got[i][0]])
+    want = {b: np.log(own[b] / sum(own.values())) - np.log(raw[b] / sum(raw.values())) for b in range(64)}
+    table = quality_rules.weights(rows, trusted, 64, True)
+    found = dict(table.collect())
+    assert all(found[b] == pytest.approx(want[b], abs=3e-5) for b in range(64))
+    llr = {i: sum(found[g] for g in got[i][1]) / max(1, len(got[i][1])) for i in got}
+    judged = quality_rules.judge(rows.select("doc_id", "text"), quality_rules.constant(table, 64), 0.0, 64).collect()
+    for r in judged:
+        assert r.llr == pytest.approx(llr[r.doc_id], abs=1e-9)
+        assert r.kept == (not r.base_failed and r.llr >= 0.0)
+    assert {r.kept for r in judged} == {True, False}
+
+
+def test_samples_are_shared_by_copies_and_by_near_copies(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = [" ".join(base[:at] + ["changed"] + base[at + 1 :]) for at in range(100)]
+    rows = quality_rules.sampled(docs(spark, list(enumerate([" ".join(base)] * 2 + near + ["a b", None]))).select("doc_id", "text")).collect()
+    of = {r.doc_id: (r.least, r.most) for r in rows}
+    assert of[0] == of[1] and None not in of[102] and None not in of[103]
+    assert sum(of[k][0] == of[0][0] or of[k][1] == of[0][1] for k in range(2, 102)) >= 95
+
+
+def test_repeated_windows_of_a_very_long_text(spark):
+    words = [f"w{k % 40_000}" if k % 7 else "the" for k in range(60_000)]
+    windows = Counter(zip(words, words[1:], words[2:]))
+    covered = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    row = quality_rules.measures(docs(spark, [(1, " ".join(words))])).select("n_words", "n_repeat_words").first()
+    assert (row.n_words, row.n_repeat_words) == (len(words), len(covered))
 
 
 def test_quality_rules_keep_an_unlabelled_group_of_clean_copies(spark):
@@ -274,9 +362,12 @@ def test_quality_rules_keep_an_unlabelled_group_of_clean_copies(spark):
     text = lambda mark: " ".join(mark + w for w in rng.choices([f"w{k}" for k in range(300)], k=200))
     rows = [(k, text("")) for k in range(300)] + [(1000 + k, text("$")) for k in range(60)]
     rows += [(2000 + k, rows[299][1]) for k in range(180)]  # no label covers this text
+    near = rows[298][1].split()
+    rows += [(3000 + k, " ".join(near[: k % 200] + [f"w{k % 300}"] + near[k % 200 + 1 :])) for k in range(180)]  # nor these near copies
     trusted = spark.createDataFrame([(k,) for k in range(0, 298, 2)], "doc_id long")
     kept = {r.doc_id for r in quality_rules.quality(docs(spark, rows), trusted).where("kept").collect()}
     assert all(k in kept for k in range(2000, 2180)) and 299 in kept
+    assert all(k in kept for k in range(3000, 3180)) and 298 in kept
     assert sum(k in kept for k in range(300)) >= 285 and not any(1000 <= k < 1060 for k in kept)
 
 
