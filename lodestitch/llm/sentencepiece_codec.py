@@ -11,15 +11,25 @@ where a U+2581 follows another character. No piece of the vocabulary reaches ove
 codec checks that), so the best segmentation of a text is that of its segments in order, a
 segment seen before costs one lookup, and texts of any length need bounded memory.
 
-Of equal scores the piece found first at an end, the longest, wins. Decoding inverts encoding for
-every text, where the vocabulary has byte pieces. Nulls: a null text counts as empty and has no pieces. Repeated rows are encoded each.
-Empty tables give no rows. Only the id and text columns are read.
+Scores are log-probabilities. A model file of merges holds ranks instead (0, -1, -2, ... in the order
+of merging, which is about that of frequency); those become log-probabilities by Zipf's law, a
+piece of rank r having a probability in proportion to 1 / (r + ZIPF). Nothing is trained.
+
+The text is taken as it is: no normaliser of the model file is applied, so decoding inverts encoding
+for every text where the vocabulary has byte pieces. Of equal scores (ties) the piece found first at an
+end, the longest, wins. A long text without spaces is one segment: it isn't kept, and needs about 20
+bytes a character while it is encoded.
+
+Nulls: a null text counts as empty and has no pieces. Repeated rows are encoded each. Empty tables
+give no rows. Only the id and text columns are read, so extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +40,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: What an uncovered character scores below the least piece.
 UNKNOWN = 10.0
-CACHE_SEGMENTS = 400_000
+#: Added to ranks: the first ranks' frequencies are flatter than 1 / r (Mandelbrot's form of the law).
+ZIPF = 2.7
+#: Segments whose ids a worker keeps, and their characters at most.
+CACHE_SEGMENTS, CACHE_CHARS = 400_000, 64
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _CODECS: dict[str, "Codec"] = {}
 
@@ -59,31 +72,30 @@ class Codec(dict):
     def viterbi(self, segment: str) -> list[tuple[int, int, int]]:
         """(start, end, id or -1) of the best pieces; -1 for a character of no piece."""
         n, low = len(segment), float("-inf")
-        best, back = [0.0] + [low] * n, [(0, -1)] * (n + 1)
-        reached = 0
+        best, came, via = array("d", [low]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0], reached, least = 0.0, 0, self.least
+
+        def close(upto: int) -> None:
+            """Positions up to `upto` have all their pieces: one uncovered character may still reach them."""
+            nonlocal reached
+            while reached < upto:
+                reached += 1
+                if best[reached - 1] + least > best[reached]:
+                    best[reached], came[reached], via[reached] = best[reached - 1] + least, reached - 1, -1
+
         for last, (length, score, k) in self.automaton.iter(segment):
+            close(last)
             end = last + 1
-            while reached < last:  # positions passed without a match, or matched: close them in order
-                reached += 1
-                self._bridge(best, back, reached)
-            start = end - length
-            if best[start] + score > best[end]:
-                best[end], back[end] = best[start] + score, (start, k)
-        while reached < n:
-            reached += 1
-            self._bridge(best, back, reached)
+            total = best[end - length] + score
+            if total > best[end]:
+                best[end], came[end], via[end] = total, end - length, k
+        close(n)
         out, at = [], n
         while at:
-            start, k = back[at]
-            out.append((start, at, k))
-            at = start
+            out.append((came[at], at, via[at]))
+            at = came[at]
         return out[::-1]
 
-    def _bridge(self, best: list, back: list, at: int) -> None:
-        """An uncovered character: the step of one character at the price of an unknown one."""
-        if best[at - 1] + self.least > best[at]:
-            best[at], back[at] = best[at - 1] + self.least, (at - 1, -1)
-
     def __missing__(self, segment: str) -> bytes:
         ids: list[int] = []
         for start, end, k in self.viterbi(segment):
@@ -93,9 +105,11 @@ class Codec(dict):
                 ids.extend(self.bytes[b] for b in segment[start:end].encode("utf-8", "surrogatepass"))
             else:
                 ids.append(self.unknown)
-        if len(self) >= CACHE_SEGMENTS:
-            self.clear()
-        self[segment] = found = np.array(ids, "<u4").tobytes()
+        found = np.array(ids, "<u4").tobytes()
+        if len(segment) <= CACHE_CHARS:
+            if len(self) >= CACHE_SEGMENTS:
+                self.clear()
+            self[segment] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -116,6 +130,15 @@ class Codec(dict):
         return out.decode("utf-8", "surrogatepass")[1:]
 
 
+def log_probabilities(scores: list[float]) -> list[float]:
+    """Of pieces, from their scores: these, or where they are ranks (whole numbers, hardly one of them twice) those of Zipf's law."""
+    if not all(s == int(s) for s in scores) or len(set(scores)) < 0.9 * len(scores):
+        return scores
+    shares = [1 / (ZIPF - s) for s in scores]
+    total = sum(shares)
+    return [math.log(x / total) for x in shares]
+
+
 def load(path: str) -> Codec:
     """The codec of a SentencePiece model file, one per Python worker."""
     if path not in _CODECS:
@@ -123,7 +146,10 @@ def load(path: str) -> Codec:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         kind = lambda i: "unknown" if sp.is_unknown(i) else "control" if sp.is_control(i) or sp.is_unused(i) else "byte" if sp.is_byte(i) else "normal"
-        _CODECS[path] = Codec([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())])
+        kinds = [kind(i) for i in range(sp.get_piece_size())]
+        normal = [i for i, k in enumerate(kinds) if k == "normal"]
+        scores = dict(zip(normal, log_probabilities([sp.get_score(i) for i in normal])))
+        _CODECS[path] = Codec([(sp.id_to_piece(i), scores.get(i, 0.0), k) for i, k in enumerate(kinds)])
     return _CODECS[path]
 
 

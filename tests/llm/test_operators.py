@@ -242,6 +242,12 @@ def test_sentencepiece(spark):
             whole = "▁" + t.replace(" ", "▁")
             spent = sum(codec.least if k < 0 else codec.automaton.get(whole[a:b])[1] for seg, base in segments(whole) for a, b, k in [(x + base, y + base, z) for x, y, z in codec.viterbi(seg)])
             assert spent == pytest.approx(plain_viterbi(codec, whole))
+    normal = [v[1] for _, v in codec.automaton.items()]
+    assert sum(map(np.exp, normal)) == pytest.approx(1.0)  # log-probabilities
+    assert sentencepiece_codec.log_probabilities([-1.5, -2.0]) == [-1.5, -2.0]
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=1_000_000))  # one segment
+    kept = len(codec)
+    assert codec.decode(np.frombuffer(codec.encode(long), "<u4")) == long and len(codec) == kept
     rows = docs(spark, ODD)
     assert sentencepiece_codec.digests(rows, PIECES).count() == len(ODD)
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(rows, PIECES), PIECES)
