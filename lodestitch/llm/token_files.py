@@ -4,23 +4,32 @@ A shard is one file: data blocks of documents in key order, then a sparse index
 place and size of each block), a Bloom filter over the shard's keys, and a footer of fixed size.
 A key is one byte (0: null id, 1: an id) and the id as 8 big-endian bytes with its sign bit
 flipped, so keys sort as ids do. Inside a block an entry holds only the bytes of its key that
-differ from the key before. A lookup reads footer, filter and index, finds the block by binary
-search, and walks that one block.
+differ from the key before.
+
+Shards hold ascending ranges of keys in the order of their file names, and a footer names its
+shard's first and last key. So a lookup finds the shard by binary search over footers, reads that
+shard's filter, and only where it may hold the key its index, finds the block by binary search there,
+and reads and walks that one block; all by seeking, no file is read as a whole. How many shards there
+are follows from the bytes of text alone, not from settings of the session.
 
 Shards are written by Spark's own text writer (each record is a block as raw bytes, the line
 separator a byte between records that the index steps over), so they go through Hadoop's file
 systems and the commit protocol: a task that is lost or run twice leaves no partial shard.
 
-Nulls: a null text counts as empty; a null id has the least key. Repeated ids keep all their rows,
-next to each other. Empty tables give no rows. Only the id and text columns are read.
+Nulls: a null text counts as empty; a null id has the least key. Repeated ids (ties) keep all their
+rows, next to each other, in the order of the scan, in several shards if need be. Very long texts are
+one entry. Empty tables give no rows. Only the id and text columns are read, so extra columns don't
+matter.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,10 +42,11 @@ from ._common import shared_path, stored
 from .tokenizing import encoder
 
 MAGIC = b"LSTITCH1"
-FOOTER = struct.Struct("<QQQQQQI8s")  # index at, index size, filter at, filter size, documents, tokens, ordinal, magic
+FOOTER = struct.Struct("<QQQQQQI9s9s8s")  # index at, index size, filter at, filter size, documents, tokens, ordinal, first key, last key, magic
+INDEX_ENTRY = struct.Struct("<9sQI")  # last key, place and size of a block
 BLOCK_BYTES = 64_000
 FILTER_BITS, FILTER_PROBES = 10, 7
-#: Text bytes a shard holds about; a shard is read as a whole, so this bounds a reader's memory.
+#: Text bytes a shard holds about; reading all of a shard back takes its bytes in memory.
 SHARD_TEXT_BYTES = 32_000_000
 NULL_KEY = b"\x00" + bytes(8)
 
@@ -108,7 +118,7 @@ class ShardWriter:
 
     def _flush(self) -> bytes:
         data = pack_block(self.block)
-        self.index.append(struct.pack("<9sQI", self.block[-1][0], self.at, len(data)))
+        self.index.append(INDEX_ENTRY.pack(self.block[-1][0], self.at, len(data)))
         self.block, self.size = [], 0
         return self._record(data)
 
@@ -129,50 +139,56 @@ class ShardWriter:
         yield self._record(index)
         filter_at, found = self.at, make_filter(self.keys)
         yield self._record(found)
-        yield FOOTER.pack(index_at, len(index), filter_at, len(found), len(self.keys), self.tokens, self.ordinal, MAGIC)
+        yield FOOTER.pack(index_at, len(index), filter_at, len(found), len(self.keys), self.tokens, self.ordinal, self.keys[0], self.keys[-1], MAGIC)
 
 
 class Shard:
-    """A shard's bytes, read by its footer."""
+    """A shard of `size` bytes, read by its footer; `read(at, n)` gives n of its bytes. Parts are read as they are asked for."""
 
-    def __init__(self, data: bytes):
-        self.data = data
-        end = len(data) - 1  # the writer's separator after the footer
-        (self.index_at, n, self.filter_at, m, self.documents, self.tokens, self.ordinal, magic) = FOOTER.unpack(data[end - FOOTER.size : end])
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read = read
+        end = size - 1  # the writer's separator after the footer
+        (self.index_at, self.index_size, self.filter_at, self.filter_size, self.documents, self.tokens, self.ordinal, self.first, self.last, magic) = FOOTER.unpack(read(end - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard, or cut short")
-        entry = struct.Struct("<9sQI")
-        self.index = list(entry.iter_unpack(data[self.index_at : self.index_at + n]))
-        self.filter = data[self.filter_at : self.filter_at + m]
+
+    @classmethod
+    def of(cls, data: bytes) -> Shard:
+        return cls(lambda at, n: data[at : at + n], len(data))
+
+    @functools.cached_property
+    def index(self) -> list[tuple[bytes, int, int]]:
+        return list(INDEX_ENTRY.iter_unpack(self.read(self.index_at, self.index_size)))
+
+    @functools.cached_property
+    def filter(self) -> bytes:
+        return self.read(self.filter_at, self.filter_size)
 
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for _, at, size in self.index:
-            for key, ids in unpack_block(self.data[at : at + size]):
+            for key, ids in unpack_block(self.read(at, size)):
                 yield id_of(key), ids
 
-    def find(self, doc_id: int | None) -> list[np.ndarray]:
+    def find(self, key: bytes) -> list[np.ndarray]:
         """The ids of every row with this key; [] if there is none."""
-        key, out = key_of(doc_id), []
-        if not may_hold(self.filter, key):
+        out: list[np.ndarray] = []
+        if not self.first <= key <= self.last or not may_hold(self.filter, key):
             return out
         for last, at, size in self.index[bisect.bisect_left([x[0] for x in self.index], key) :]:
-            for found, ids in unpack_block(self.data[at : at + size]):
-                if found == key:
-                    out.append(ids)
+            out += [ids for found, ids in unpack_block(self.read(at, size)) if found == key]
             if last > key:
                 break
         return out
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_bytes: int = SHARD_TEXT_BYTES) -> None:
     """Encode every whole text, append end_id, and write shards in ascending id order below `path`.
 
     Rows are dealt by ranges of (id, place in the scan), so a repeated id can't fill one task.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_TEXT_BYTES))
+    n = max(1, -(-size // shard_bytes))
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +207,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from write(pdf.assign(doc_id=pd.array([pd.NA if x is None else int(x) for x in pdf["doc_id"]], "Int64")) for pdf in batches)
 
-    dealt.mapInPandas(typed, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    dealt.mapInPandas(typed, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 0).text(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -200,7 +216,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["content"]:
-                shard, rows, size = Shard(data), [], 0
+                shard, rows, size = Shard.of(data), [], 0
                 for place, (doc_id, ids) in enumerate(shard):
                     rows.append((shard.ordinal, place, doc_id, ids.astype("<i4")))
                     size += len(ids)
@@ -212,17 +228,36 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(read, "ordinal int, place long, doc_id long, ids array<int>")
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the asked ids: filter, binary search over the index, one block."""
-    asked = list(doc_ids)
+def shards_at(spark: SparkSession, path: str) -> list[Callable[[], Shard]]:
+    """The shards below `path` in key order, each opened when it is called. Bytes come by seeking, from any of Hadoop's file systems."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [(int(m[1]), x) for x in fs.listStatus(folder) if x.getLen() and (m := re.match(r"part-(\d+)", x.getPath().getName()))]
+
+    def opened(status) -> Shard:
+        def read(at: int, n: int) -> bytes:
+            stream = fs.open(status.getPath())
+            try:
+                stream.seek(at)
+                return bytes(stream.readNBytes(n))
+            finally:
+                stream.close()
+
+        return Shard(read, status.getLen())
+
+    return [functools.cache(functools.partial(opened, status)) for _, status in sorted(files, key=lambda x: x[0])]
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for data in pdf["content"]:
-                shard = Shard(data)
-                yield pd.DataFrame([(d, ids.astype("<i4")) for d in asked for ids in shard.find(d)], columns=["doc_id", "ids"])
 
-    return _files(spark, path).mapInPandas(find, "doc_id long, ids array<int>")
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """(doc_id, ids) of the asked ids, which the driver looks up one by one: for few ids; many are better joined with `read_shards`."""
+    shards, rows = shards_at(spark, path), []
+    for doc_id in doc_ids:
+        key = key_of(doc_id)
+        k = bisect.bisect_left(shards, key, key=lambda shard: shard().last)
+        while k < len(shards) and shards[k]().first <= key:
+            rows += [(doc_id, ids.tolist()) for ids in shards[k]().find(key)]
+            k += 1
+    return spark.createDataFrame(rows, "doc_id long, ids array<int>")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -235,7 +270,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["content"]:
-                shard, rows, start = Shard(data), [], 0
+                shard, rows, start = Shard.of(data), [], 0
                 for doc_id, ids in shard:
                     rows.append((shard.ordinal, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)

@@ -599,6 +599,18 @@ def test_token_files(spark, tmp_path):
     found = token_files.lookup(spark, path, [4, 7, 99]).collect()
     assert sorted(r.doc_id for r in found) == [4, 4, 7]
     assert [r.ids for r in found if r.doc_id == 7] == [library(texts[7]) + [1]]
+    many = docs(spark, [(k // 2, f"text {k // 2}") for k in range(600)] + ODD)
+    token_files.write_shards(many, f"{path}2", WORD_BPE, shard_bytes=50_000)
+    shards = token_files.shards_at(spark, f"{path}2")
+    assert len(shards) > 5 and all(a().last <= b().first for a, b in zip(shards, shards[1:]))
+    read = []
+    for s in shards:
+        s().read = lambda at, n, f=s().read, size=s().documents: read.append(n) or f(at, n)
+    assert [len(s().find(token_files.key_of(250))) for s in shards if s().first <= token_files.key_of(250) <= s().last] == [2]
+    assert len(read) == 3  # filter, index, one block
+    asked = [None, -3, 0, 150, 299, 300, 10**12]
+    found = Counter(r.doc_id for r in token_files.lookup(spark, f"{path}2", asked).collect())
+    assert found == {None: 1, 0: 2, 150: 2, 299: 2}
     assert token_files.token_files(docs(spark, []), WORD_BPE).count() == 0
 
 
