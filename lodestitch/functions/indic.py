@@ -12,35 +12,57 @@ from pyspark.sql import functions as F
 #: Block starts, in the order in which detection looks at them.
 BLOCKS = {"devanagari": 0x0900, "bengali": 0x0980, "gujarati": 0x0A80, "tamil": 0x0B80, "telugu": 0x0C00, "kannada": 0x0C80, "malayalam": 0x0D00}
 #: Latin values by place in the block.
-VOWELS = "05 a 06 aa 07 i 08 ee 09 u 0A oo 0B ri 0E e 0F ee 10 ai 12 o 13 oo 14 au"
-SIGNS = "3E aa 3F i 40 ee 41 u 42 oo 43 ri 46 e 47 ee 48 ai 4A o 4B oo 4C au"
-CONSONANTS = "15 k 16 kh 17 g 18 gh 19 ng 1A ch 1B chh 1C j 1D jh 1E ny 1F t 20 th 21 d 22 dh 23 n 24 t 25 th 26 d 27 dh 28 n 2A p 2B ph 2C b 2D bh 2E m 2F y 30 r 31 r 32 l 33 l 35 v 36 sh 37 sh 38 s 39 h"
-#: What a script has besides or instead, and what it lacks ("-").
-OWN = {
-    "devanagari": {"vowel": "0F e 13 o", "sign": "47 e 4B o", "consonant": "58 q 59 kh 5A gh 5B z 5C r 5D rh 5E f", "mark": "01 n 02 m 03 h 3C "},
-    "bengali": {"vowel": "0F e 13 o 0E - 12 -", "sign": "47 e 4B o 46 - 4A -", "consonant": "31 - 33 - 35 - 5C r 5D rh 5F y", "mark": "01 n 02 ng 03 h 3C "},
-    "gujarati": {"vowel": "0F e 13 o 0E - 12 -", "sign": "47 e 4B o 46 - 4A -", "consonant": "31 -", "mark": "01 n 02 m 03 h 3C "},
-    "tamil": {"vowel": "0B -", "sign": "43 -", "consonant": "16 - 17 - 18 - 1B - 1D - 20 - 21 - 22 - 25 - 26 - 27 - 2B - 2C - 2D - 29 n 34 zh", "mark": "02 m 03 h"},
-    "telugu": {"mark": "01 n 02 m 03 h"},
-    "kannada": {"mark": "02 m 03 h"},
-    "malayalam": {"consonant": "34 zh", "mark": "02 m 03 h"},
+VOWELS = {0x05: "a", 0x06: "aa", 0x07: "i", 0x08: "ee", 0x09: "u", 0x0A: "oo", 0x0B: "ri", 0x0E: "e", 0x0F: "ee", 0x10: "ai", 0x12: "o", 0x13: "oo", 0x14: "au"}
+SIGNS = {0x3E: "aa", 0x3F: "i", 0x40: "ee", 0x41: "u", 0x42: "oo", 0x43: "ri", 0x46: "e", 0x47: "ee", 0x48: "ai", 0x4A: "o", 0x4B: "oo", 0x4C: "au"}
+CONSONANTS = {
+    0x15: "k", 0x16: "kh", 0x17: "g", 0x18: "gh", 0x19: "ng",
+    0x1A: "ch", 0x1B: "chh", 0x1C: "j", 0x1D: "jh", 0x1E: "ny",
+    0x1F: "t", 0x20: "th", 0x21: "d", 0x22: "dh", 0x23: "n",
+    0x24: "t", 0x25: "th", 0x26: "d", 0x27: "dh", 0x28: "n",
+    0x2A: "p", 0x2B: "ph", 0x2C: "b", 0x2D: "bh", 0x2E: "m",
+    0x2F: "y", 0x30: "r", 0x31: "r", 0x32: "l", 0x33: "l", 0x35: "v", 0x36: "sh", 0x37: "sh", 0x38: "s", 0x39: "h",
+}
+#: Latin values that a script has besides the common ones, or instead of them, by place in its block.
+OWN_VOWELS = {
+    "devanagari": {0x0F: "e", 0x13: "o"},
+    "bengali": {0x0F: "e", 0x13: "o"},
+    "gujarati": {0x0F: "e", 0x13: "o"},
+}
+OWN_SIGNS = {
+    "devanagari": {0x47: "e", 0x4B: "o"},
+    "bengali": {0x47: "e", 0x4B: "o"},
+    "gujarati": {0x47: "e", 0x4B: "o"},
+}
+OWN_CONSONANTS = {
+    "devanagari": {0x58: "q", 0x59: "kh", 0x5A: "gh", 0x5B: "z", 0x5C: "r", 0x5D: "rh", 0x5E: "f"},
+    "bengali": {0x5C: "r", 0x5D: "rh", 0x5F: "y"},
+    "tamil": {0x29: "n", 0x34: "zh"},
+    "malayalam": {0x34: "zh"},
+}
+MARKS = {
+    "devanagari": {0x01: "n", 0x02: "m", 0x03: "h", 0x3C: ""},
+    "bengali": {0x01: "n", 0x02: "ng", 0x03: "h", 0x3C: ""},
+    "gujarati": {0x01: "n", 0x02: "m", 0x03: "h", 0x3C: ""},
+    "tamil": {0x02: "m", 0x03: "h"},
+    "telugu": {0x01: "n", 0x02: "m", 0x03: "h"},
+    "kannada": {0x02: "m", 0x03: "h"},
+    "malayalam": {0x02: "m", 0x03: "h"},
+}
+#: Common places that have no value in a script.
+LACKING = {
+    "bengali": {0x0E, 0x12, 0x31, 0x33, 0x35, 0x46, 0x4A},
+    "gujarati": {0x0E, 0x12, 0x31, 0x46, 0x4A},
+    "tamil": {0x0B, 0x16, 0x17, 0x18, 0x1B, 0x1D, 0x20, 0x21, 0x22, 0x25, 0x26, 0x27, 0x2B, 0x2C, 0x2D, 0x43},
 }
 VIRAMA = 0x4D
 
 
-def _places(text: str) -> dict[int, str]:
-    """"05 a 3C " -> {0x05: "a", 0x3C: ""}."""
-    parts = text.split(" ")
-    return {int(p, 16): v for p, v in zip(parts[::2], parts[1::2])}
-
-
-def table(kind: str) -> dict[str, str]:
-    """Character -> Latin value, of vowels, signs, consonants or marks of all scripts."""
-    common = {"vowel": VOWELS, "sign": SIGNS, "consonant": CONSONANTS, "mark": ""}[kind]
+def table(common: dict[int, str], own: dict[str, dict[int, str]]) -> dict[str, str]:
+    """Character -> Latin value in all scripts, of a kind's common values and those of its scripts."""
     out = {}
     for script, start in BLOCKS.items():
-        values = (_places(common) if common else {}) | (_places(OWN[script][kind]) if kind in OWN[script] else {})
-        out |= {chr(start + p): v for p, v in values.items() if v != "-"}
+        shared = {place: value for place, value in common.items() if place not in LACKING.get(script, set())}
+        out |= {chr(start + place): value for place, value in (shared | own.get(script, {})).items()}
     return out
 
 
@@ -51,9 +73,9 @@ def _class(chars) -> str:
 def romanize(text: Column) -> Column:
     """A consonant carries an "a" unless a sign or the virama follows; every known character then becomes its Latin value."""
     viramas = [chr(b + VIRAMA) for b in BLOCKS.values()]
-    consonants, signs = table("consonant"), table("sign")
+    consonants, signs = table(CONSONANTS, OWN_CONSONANTS), table(SIGNS, OWN_SIGNS)
     voiced = F.regexp_replace(text, f"([{_class(consonants)}])(?![{_class([*signs, *viramas])}])", "$1a")
-    values = {**table("vowel"), **signs, **consonants, **table("mark"), **dict.fromkeys(viramas, "")}
+    values = {**table(VOWELS, OWN_VOWELS), **signs, **consonants, **table({}, MARKS), **dict.fromkeys(viramas, "")}
     known = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
     letters = F.transform(F.regexp_extract_all(voiced, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(known, c), c))
     return F.when(text.rlike(f"[{_class(values)}]"), F.array_join(letters, "")).otherwise(text)
