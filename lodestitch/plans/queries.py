@@ -66,13 +66,14 @@ def src_04(spark, d):
     return C(spark, d).truth.select("s1", F.array_join("targets", ",").alias("targets"), F.size("targets").alias("n"))
 
 
-_LISTS = [("S1-1", "S2-1,S3-2"), ("S1-2", ""), ("S1-3", "S2-1,S2-1"), ("S1-4", "S2-1,,S3-1"), ("S1-5", "S4-9"), ("S1-6", "S3-7")]
-
-
-@query("src_09_id_lists", f"select s1, case when ids = '' then null when list_contains(string_split(ids, ','), '') then 'empty item' when len(string_split(ids, ',')) <> len(list_distinct(string_split(ids, ','))) then 'repeated id' when len(list_filter(string_split(ids, ','), lambda x: not regexp_matches(x, '^S[23]-'))) > 0 then 'foreign prefix' end as fault, len(list_distinct(list_filter(string_split(ids, ','), lambda x: x <> ''))) as n from {rows_sql(_LISTS, 's1, ids')}")
+@query("src_09_id_lists", with_tables("select s1, case when n > d then 'repeated id' when n > ok then 'foreign prefix' end as fault, d::bigint as n from (select s1, len(x) as n, len(list_distinct(x)) as d, len(list_filter(x, lambda i: regexp_matches(i, '^S[23]-'))) as ok from (select s1, list(cand order by cand) as x from (select s1, cand from selected union all select s1, s1 from selected where right(s1, 1) = '3' union all select s1, cand from selected where right(s1, 1) = '6') group by 1))", "selected"))
 def src_09(spark, d):
-    rows = spark.createDataFrame(_LISTS, "s1 string, ids string")
-    return rows.select("s1", tables.id_list_fault(F.col("ids"), True).alias("fault"), F.size(tables.ids_of(F.col("ids"))).alias("n"))
+    """Candidate lists; those of queries that end in 3 get the query itself, of those that end in 6 every id twice: faults to be found."""
+    chosen = linkage.kept(select.select(linkage.raw_ranked(C(spark, d)), linkage.CAP).select("s1", "cand"))
+    ends = lambda x: chosen.where(F.col("s1").endswith(x))
+    rows = chosen.unionByName(ends("3").select("s1", F.col("s1").alias("cand"))).unionByName(ends("6"))
+    lists = rows.groupBy("s1").agg(F.array_join(F.array_sort(F.collect_list("cand")), ",").alias("ids"))
+    return lists.select("s1", tables.id_list_fault(F.col("ids"), True).alias("fault"), F.size(tables.ids_of(F.col("ids"))).cast("bigint").alias("n"))
 
 
 @query("src_12_train_records", with_tables("select e.country, case when n = 0 then '0' when n = 1 then '1' when n <= 3 then '2-3' when n <= 5 then '4-5' else '6+' end as bucket, count(*) as n from (select s1, len(targets) as n from truth) t join ents e on e.entity_id = t.s1 group by 1, 2", "truth", "ents"))
@@ -119,12 +120,10 @@ def nrm_03(spark, d):
     return C(spark, d).records.select("entity_id", fold_accents(F.col("business_name")).alias("folded"))
 
 
-_COUNTRIES = [("in", "India"), (" USA ", "US"), ("fr", "France"), ("guinea-bissau", "Guinea-Bissau"), ("uk", "UK"), ("", "Unknown"), ("GERMANY", "Germany"), ("united states", "US")]
-
-
-@query("nrm_04_country", f"select raw, country from {rows_sql(_COUNTRIES, 'raw, country')}")
+@query("nrm_04_country", with_tables("select entity_id, case when country = '' then 'Unknown' when lower(trim(country)) in ('fr', 'fra', 'france') then 'France' when lower(trim(country)) in ('in', 'ind', 'india') then 'India' when lower(trim(country)) in ('us', 'usa') then 'US' else upper(trim(country)) end as country from ents", "ents"))
 def nrm_04(spark, d):
-    return spark.createDataFrame([(c,) for c, _ in _COUNTRIES], "raw string").select("raw", text.normalize_country(F.col("raw")).alias("country"))
+    """Languages of two letters stand in for countries: those that name a known one, and open labels."""
+    return C(spark, d).records.select("entity_id", text.normalize_country(F.col("country")).alias("country"))
 
 
 _MAP = "case {0} when 'incorporated' then 'inc' when 'corporation' then 'corp' when 'limited' then 'ltd' when 'co' then 'company' else {0} end"
@@ -189,12 +188,15 @@ def nrm_11(spark, d):
     return C(spark, d).records.select("entity_id", text.script_class(F.col("business_name")).alias("class"))
 
 
-_VARIANTS = [("a", "Acme Corp", "Acme Corporation"), ("b", "Acme Ltd", "ACME LTD"), ("c", "Alpha Beta", "Beta Alpha Inc"), ("d", "The Co", "And Company"), ("e", "Acme", "Bcme")]
+_CONTENT = "list_sort(list_filter({0}.words, lambda w: not list_contains([" + ", ".join(f"'{w}'" for w in text.LEGAL_WORDS) + "], w)))"
 
 
-@query("nrm_12_legal_variant", f"select k, k in ('a', 'c') as variant from {rows_sql(_VARIANTS, 'k, x, y')}")
+@query("nrm_12_legal_variant", with_tables(f"select s.s1, s.cand, len({_CONTENT.format('a')}) > 0 and {_CONTENT.format('a')} = {_CONTENT.format('b')} and lower(a.business_name) <> lower(b.business_name) as variant from selected s join wordy a on a.entity_id = s.s1 join wordy b on b.entity_id = s.cand", "selected", "wordy"))
 def nrm_12(spark, d):
-    return spark.createDataFrame(_VARIANTS, "k string, x string, y string").select("k", text.is_legal_variant(F.col("x"), F.col("y")).alias("variant"))
+    c = C(spark, d)
+    names = lambda key, to: c.records.select(F.col("entity_id").alias(key), F.col("business_name").alias(to))
+    both = select.select(linkage.raw_ranked(c), linkage.CAP).join(names("s1", "x"), "s1").join(names("cand", "y"), "cand")
+    return both.select("s1", "cand", text.is_legal_variant(F.col("x"), F.col("y")).alias("variant"))
 
 
 @query("nrm_13_overlap_bucket", with_tables("select s1, cand, case when j <= 0 then 'none' when j < 0.3 then 'low' when j < 0.7 then 'mid' else 'high' end as bucket from (select s.s1, s.cand, " + JACCARD.format("a.words", "b.words", "0.0") + " as j from selected s join wordy a on a.entity_id = s.s1 join wordy b on b.entity_id = s.cand)", "selected", "wordy"))
@@ -206,18 +208,21 @@ def nrm_13(spark, d):
     return both.select("s1", "cand", text.overlap_bucket(text.jaccard(F.col("a"), F.col("b"), 0.0)).alias("bucket"))
 
 
-_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split({0}, ' '), lambda t: t <> ''), lambda t: list_transform(range(1, length(t) + 1), lambda i: substr('^' || t || '$', i, 3)))))"
+#: Trigrams of a name's tokens, repeats and all; ORDERED takes the first 48 different ones of such a column.
+_GRAMS = "flatten(list_transform(list_filter(string_split({0}, ' '), lambda t: t <> ''), lambda t: list_transform(range(1, length(t) + 1), lambda i: substr('^' || t || '$', i, 3))))"
+_ORDERED = "list_filter({0}, lambda g, i: list_position({0}, g) = i)[1:48]"
 
 
-@query("nrm_14_character_ngrams", with_tables(f"select entity_id, len({_GRAMS.format('name')}) as n, array_to_string(list_sort({_GRAMS.format('name')}), ' ') as grams from norm", "norm"))
+@query("nrm_14_character_ngrams", with_tables(f"select entity_id, len(g) as n, array_to_string(g, ' ') as grams from (select entity_id, {_ORDERED.format('every')} as g from (select entity_id, {_GRAMS.format('name')} as every from norm))", "norm"))
 def nrm_14(spark, d):
-    g = text.character_ngrams(text.normalize_raw(F.col("business_name")), 1 << 20)
-    return C(spark, d).records.select("entity_id", F.size(g).alias("n"), F.array_join(F.array_sort(g), " ").alias("grams"))
+    g = text.character_ngrams(text.normalize_raw(F.col("business_name")))
+    return C(spark, d).records.select("entity_id", F.size(g).alias("n"), F.array_join(g, " ").alias("grams"))
 
 
-@query("nrm_15_encode_gram", "select gram, code from " + rows_sql([("^ab", "g00005e000061000062"), ("é", "g0000e9")], "gram, code"))
+@query("nrm_15_encode_gram", with_tables(f"select gram, 'g' || array_to_string(list_transform(string_split(gram, ''), lambda c: printf('%06x', unicode(c))), '') as code from (select distinct unnest({_GRAMS.format('name')}) as gram from norm)", "norm"))
 def nrm_15(spark, d):
-    return spark.createDataFrame([("^ab",), ("é",)], "gram string").select("gram", text.encode_gram(F.col("gram")).alias("code"))
+    grams = C(spark, d).records.select(F.explode(text.character_ngrams(text.normalize_raw(F.col("business_name")), 1 << 20)).alias("gram")).distinct()
+    return grams.select("gram", text.encode_gram(F.col("gram")).alias("code"))
 
 
 def _phonetic(t: str) -> str:
@@ -264,9 +269,11 @@ def nrm_20(spark, d):
     return represent.canonical_any(rows).select("entity_id", "accent_folded_name")
 
 
-@query("nrm_22_list_length", f"select s1, case when trim(ids) = '' then 0 else len(string_split(ids, ',')) end as n from {rows_sql(_LISTS, 's1, ids')}")
+@query("nrm_22_list_length", with_tables("select e.entity_id as s1, count(s.cand) as n from ents e left join selected s on s.s1 = e.entity_id where e.source = 'S1' group by 1", "ents", "selected"))
 def nrm_22(spark, d):
-    return spark.createDataFrame(_LISTS, "s1 string, ids string").select("s1", text.list_length(F.col("ids")).alias("n"))
+    c = C(spark, d)
+    lists = select.wide(select.select(linkage.raw_ranked(c), linkage.CAP), c.queries)
+    return lists.select(F.col("source1_entity_id").alias("s1"), text.list_length(F.col("candidate_entity_ids")).cast("bigint").alias("n"))
 
 
 @query("nrm_23_percentile", with_tables("select quantile_disc(width, 0.5) as p50, quantile_disc(width, 0.95) as p95, quantile_disc(width, 0.99) as p99 from per", "per"))
@@ -304,10 +311,10 @@ def tok_01(spark, d):
     return tokens.idf(_token_docs(spark, d), "t")
 
 
-@query("tok_02_weighed_tokens", with_tables("", "norm").rstrip() + ", res as (" + _idf_sql(_TOKENS_SQL) + ") select n.entity_id, round(sum(coalesce(r.idf, g.idf, 10.0)), 4) as weight from (select entity_id, 'zz' as country, unnest(" + _TOKENS_SQL + ") as token from norm) n left join res r on r.country = n.country and r.token = n.token left join res g on g.country = 'global' and g.token = n.token group by 1")
+@query("tok_02_weighed_tokens", with_tables("", "norm").rstrip() + ", res as (" + _idf_sql(_TOKENS_SQL) + ") select n.entity_id, round(sum(coalesce(r.idf, g.idf, 10.0)), 4) as weight from (select entity_id, country, unnest(" + _TOKENS_SQL + ") as token from norm) n left join res r on r.country = n.country and r.token = n.token left join res g on g.country = 'global' and g.token = n.token group by 1")
 def tok_02(spark, d):
     docs = _token_docs(spark, d)
-    own = docs.select("entity_id", F.lit("zz").alias("country"), F.explode("t").alias("token"))
+    own = docs.select("entity_id", "country", F.explode("t").alias("token"))
     return tokens.weighed(own, tokens.idf(docs, "t")).groupBy("entity_id").agg(F.round(F.sum("idf"), 4).alias("weight"))
 
 
@@ -318,7 +325,13 @@ def tok_03(spark, d):
     return tokens.flagged(own, tokens.idf(docs, "t")).groupBy("entity_id").agg(F.sum(F.col("is_boilerplate").cast("bigint")).alias("n"))
 
 
-@query("tok_04_mined_boilerplate")
+_MINED = f"""docs as (select case country when 'fr' then 'France' else 'US' end as country, list_distinct(list_filter(string_split({_FOLDED.format('business_name')}, ' '), lambda t: t <> '')) as n, list_distinct(list_filter(string_split({_ADDRESS.format('business_address')}, ' '), lambda t: t <> '')) as a from ents),
+own as (select 'n' as field, country, unnest(n) as token from docs union all select 'a', country, unnest(a) from docs),
+counted as (select field, country, token, count(*) as df from own group by 1, 2, 3 union all select field, 'global', token, count(*) from own group by 1, 3),
+sizes as (select country, count(*) as n from docs group by 1 union all select 'global', count(*) from docs)"""
+
+
+@query("tok_04_mined_boilerplate", with_tables("", "ents").rstrip() + ", " + _MINED + " select distinct country, token from counted join sizes using (country) where df::double / n >= 0.01")
 def tok_04(spark, d):
     return tokens.mine(represent.canonical(C(spark, d).records))[2]
 
@@ -338,12 +351,6 @@ def idx_01(spark, d):
     return n(i.records, "records").join(n(i.postings, "postings"), ["country", "source"])
 
 
-@query("idx_02_canonical_index")
-def idx_02(spark, d):
-    i = index.build_canonical(C(spark, d).targets)
-    return i.postings.groupBy("country", "source", "field").agg(F.count(F.lit(1)).alias("postings"))
-
-
 @query("idx_05_comparison_space", with_tables("select pairs from space", "space"))
 def idx_05(spark, d):
     c = C(spark, d)
@@ -380,14 +387,15 @@ def ret_04(spark, d):
     return retrieve.raw_candidates(c.queries, index.build_raw(c.targets)).withColumn("score", F.round("score", 6))
 
 
-_VIEW = f"""view as (select e.entity_id, e.source, case e.country when 'fr' then 'France' else upper(e.country) end as country, n.name as raw_name, n.address as raw_address, {_PLAIN.format('e.business_name')} as normalized_name,
- {_FOLDED.format('e.business_name')} as accent_name, {_ADDRESS.format('e.business_address')} as normalized_address from ents e join norm n using (entity_id)),
+_VIEW = f"""view as (select * exclude (every), {_ORDERED.format('every')} as name_ngrams from (select *, {_GRAMS.format('accent_name')} as every from (select e.entity_id, e.source, case e.country when 'fr' then 'France' else upper(e.country) end as country, n.name as raw_name, n.address as raw_address, {_PLAIN.format('e.business_name')} as normalized_name,
+ {_FOLDED.format('e.business_name')} as accent_name, {_ADDRESS.format('e.business_address')} as normalized_address from ents e join norm n using (entity_id)))),
 vals as (select entity_id, country, source, unnest([{{'c': 'raw_name_exact', 'v': raw_name}}, {{'c': 'raw_address_exact', 'v': raw_address}}, {{'c': 'canonical_name_exact', 'v': normalized_name}}, {{'c': 'accent_name_exact', 'v': accent_name}},
  {{'c': 'canonical_address_exact', 'v': normalized_address}}, {{'c': 'romanized_exact', 'v': accent_name}}, {{'c': 'phonetic_exact', 'v': {_PHONETIC_NAME.format('accent_name')}}}]) as x from view),
-pools as (select * from (select *, row_number() over (partition by country, source, x.c, x.v order by entity_id) as rn from vals where source <> 'S1' and x.v <> '') where rn <= 250)"""
+pools as (select * from (select *, row_number() over (partition by country, source, x.c, x.v order by entity_id) as rn from vals where source <> 'S1' and x.v <> '') where rn <= 250),
+xhits as (select q.entity_id as s1, p.source, p.entity_id as cand, q.x.c as channel from vals q join pools p on p.country = q.country and p.x.c = q.x.c and p.x.v = q.x.v where q.source = 'S1')"""
 
 
-@query("ret_05_canonical_exact", with_tables("", "ents", "norm").rstrip() + ", " + _VIEW + " select q.entity_id as s1, p.source, p.entity_id as cand, q.x.c as channel from vals q join pools p on p.country = q.country and p.x.c = q.x.c and p.x.v = q.x.v where q.source = 'S1'")
+@query("ret_05_canonical_exact", with_tables("", "ents", "norm").rstrip() + ", " + _VIEW + " select s1, source, cand, channel from xhits")
 def ret_05(spark, d):
     c = C(spark, d)
     view = linkage.views(c)
@@ -397,36 +405,70 @@ def ret_05(spark, d):
 def _gathered(name: str) -> str:
     """Tokens of the view by channel: query side and target side."""
     words = lambda v, least=1: f"list_distinct(list_filter(string_split({v}, ' '), lambda t: length(t) >= {least}))"
-    grams = _GRAMS.format("accent_name")
-    first = f"list_filter({grams}, lambda g: true)"
     if name == "queries":
-        own = {"raw_name_token": ("raw_name", words("raw_name", 2)), "raw_address_token": ("raw_address", words("raw_address", 2)), "canonical_name_token": ("normalized_name", words("accent_name")), "canonical_address_token": ("normalized_address", words("normalized_address")), "romanized_token": ("romanized_name", words("accent_name"))}
+        own = {"raw_name_token": ("raw_name", words("raw_name", 2)), "raw_address_token": ("raw_address", words("raw_address", 2)), "canonical_name_token": ("normalized_name", words("accent_name")), "canonical_address_token": ("normalized_address", words("normalized_address")), "romanized_token": ("romanized_name", words("accent_name")), "romanized_ngram": ("name_ngrams", "name_ngrams")}
     else:
-        own = {"raw_name": ("raw_name", words("raw_name")), "raw_address": ("raw_address", words("raw_address")), "normalized_name": ("normalized_name", words("normalized_name")), "normalized_address": ("normalized_address", words("normalized_address")), "romanized_name": ("romanized_name", words("accent_name"))}
-    del first
+        own = {"raw_name": ("raw_name", words("raw_name")), "raw_address": ("raw_address", words("raw_address")), "normalized_name": ("normalized_name", words("normalized_name")), "normalized_address": ("normalized_address", words("normalized_address")), "romanized_name": ("romanized_name", words("accent_name")), "name_ngrams": ("name_ngrams", "name_ngrams")}
     return " union all ".join(f"select entity_id, country, source, '{c}' as channel, '{f}' as field, unnest({t}) as token from view" for c, (f, t) in own.items())
 
 
-_CHANNEL_TOKENS = f"""posts as ({_gathered('targets')}), d as (select country, source, token, count(distinct entity_id) as df from posts where source <> 'S1' group by 1, 2, 3),
-asks as ({_gathered('queries')}), picks as (select * from (select q.entity_id as s1, d.source, q.country, q.channel, q.field, q.token, d.df, row_number() over (partition by q.entity_id, d.source, q.channel order by d.df, q.token) as rn
- from asks q join d on d.country = q.country and d.token = q.token where q.source = 'S1' and d.df <= 250) where rn <= 4)"""
+def _token_channels(asked: str = "true") -> str:
+    """The token channels of the view, over the query tokens that meet a condition."""
+    return f"""posts as ({_gathered('targets')}), d as (select country, source, token, count(distinct entity_id) as df from posts where source <> 'S1' group by 1, 2, 3),
+asks as (select * from ({_gathered('queries')}) where {asked}), picks as (select * from (select q.entity_id as s1, d.source, q.country, q.channel, q.field, q.token, d.df, row_number() over (partition by q.entity_id, d.source, q.channel order by d.df, q.token) as rn
+ from asks q join d on d.country = q.country and d.token = q.token where q.source = 'S1' and d.df <= case q.channel when 'romanized_ngram' then 400 else 250 end) where rn <= 4),
+thits as (select p.s1, p.source, t.entity_id as cand, p.channel, round(sum(1 / log2(p.df + 2)), 9) as score from picks p join posts t on t.country = p.country and t.source = p.source and t.field = p.field and t.token = p.token group by 1, 2, 3, 4)"""
+
 
+@query("idx_02_canonical_index", with_tables("", "ents", "norm").rstrip() + ", " + _VIEW + f", posts as ({_gathered('targets')}) select country, source, field, count(*) as postings from posts where source <> 'S1' group by 1, 2, 3")
+def idx_02(spark, d):
+    i = index.build_canonical(C(spark, d).targets)
+    return i.postings.groupBy("country", "source", "field").agg(F.count(F.lit(1)).alias("postings"))
 
-@query("ret_06_canonical_rare_tokens", with_tables("", "ents", "norm").rstrip() + ", " + _VIEW + ", " + _CHANNEL_TOKENS + " select p.s1, p.source, t.entity_id as cand, p.channel, round(sum(1 / log2(p.df + 2)), 6) as score from picks p join posts t on t.country = p.country and t.source = p.source and t.field = p.field and t.token = p.token group by 1, 2, 3, 4")
+
+@query("ret_06_canonical_rare_tokens", with_tables("", "ents", "norm").rstrip() + ", " + _VIEW + ", " + _token_channels() + " select s1, source, cand, channel, round(score, 6) as score from thits")
 def ret_06(spark, d):
     c = C(spark, d)
     view = linkage.views(c)
-    idx = index.index_views(view.join(c.targets.select("entity_id", "source"), "entity_id").withColumn("name_ngrams", no_tokens()))
-    found = retrieve.canonical_candidates_of_tokens(view.where("entity_id like 'S1-%'").withColumn("name_ngrams", no_tokens()), idx)
-    return found.withColumn("score", F.round("score", 6))
+    idx = index.index_views(view.join(c.targets.select("entity_id", "source"), "entity_id"))
+    return retrieve.canonical_candidates_of_tokens(view.where("entity_id like 'S1-%'"), idx).withColumn("score", F.round("score", 6))
+
+
+#: All fourteen channels: boilerplate out of the query's words, candidates with their channels and score.
+_FOUND = f"""{_VIEW}, boil as (select token from (select unnest(list_distinct(list_filter(string_split(accent_name, ' '), lambda t: t <> ''))) as token from view) group by 1 having count(*) >= 0.05 * (select count(*) from view)
+ union select token from (select unnest(list_distinct(list_filter(string_split(normalized_address, ' '), lambda t: t <> ''))) as token from view) group by 1 having count(*) >= 0.05 * (select count(*) from view)),
+{_token_channels("channel = 'romanized_ngram' or token not in (select token from boil)")},
+found14 as (select s1, cand, source, list_sort(list(channel)) as channels, round(sum(score), 9) as score from (select s1, cand, source, channel, score from thits union all select s1, cand, source, channel, 0.0::double from xhits) group by 1, 2, 3)"""
+_WEIGHED = "list_transform(channels, lambda c: case c " + " ".join(f"when '{c}' then {w}::double" for c, w in retrieve.CHANNELS.items()) + " end)"
+_PROVENANCE = "array_to_string(list_filter([" + ", ".join(f"'{c}'" for c in retrieve.CHANNELS) + "], lambda c: list_contains(channels, c)), ',')"
+
 
+def _ranked14(of: str) -> str:
+    return f"select *, row_number() over (partition by s1 order by list_max({_WEIGHED}) desc, round(list_sum({_WEIGHED}), 6) desc, len(channels) desc, score desc, cand) as rank from ({of})"
 
-@query("ret_08_channel_candidates")
+
+def _only14(prefix: str, has: bool = True) -> str:
+    return f"select * from (select * exclude (channels), list_filter(channels, lambda c: {'' if has else 'not '}starts_with(c, '{prefix}')) as channels from found14) where len(channels) > 0"
+
+
+def _selected14(of: str) -> str:
+    """Capped selection with floors of 2 and a quota of 10 for those that rescue channels alone found."""
+    rescue = "len(list_filter(channels, lambda c: c not in (" + ", ".join(f"'{c}'" for c in retrieve.RESCUE) + "))) = 0"
+    return f"""select * exclude (rank), row_number() over (partition by s1 order by rank) as rank from (select *, row_number() over (partition by s1 order by prio, rank) as place from
+ (select *, row_number() over (partition by s1, rescue order by prio, rank) as rq from (select *, {rescue} as rescue, case when sn <= 2 then case source when 'S2' then 0 else 1 end else 2 end as prio
+ from (select *, row_number() over (partition by s1, source order by rank) as sn from ({of})))) where not rescue or rq <= 10) where place <= 50"""
+
+
+def _with14(query: str, *names: str) -> str:
+    return with_tables("", "ents", "norm", *names).rstrip() + ", " + _FOUND + " " + query
+
+
+@query("ret_08_channel_candidates", _with14(f"select s1, cand, source, {_PROVENANCE} as channels, round(score, 6) as score, rank from ({_ranked14('from found14')})"))
 def ret_08(spark, d):
     return linkage.canonical_ranked(C(spark, d)).select("s1", "cand", "source", select.provenance_channels(F.col("channels")).alias("channels"), F.round("score", 6).alias("score"), "rank")
 
 
-@query("ret_09_raw_channels_only")
+@query("ret_09_raw_channels_only", _with14(f"select s1, cand, {_PROVENANCE} as channels, rank from ({_ranked14(_only14('raw_'))})"))
 def ret_09(spark, d):
     only = retrieve.only_channels(linkage.canonical_ranked(C(spark, d)).drop("rank"), [c for c in retrieve.CHANNELS if c.startswith("raw_")])
     return select.rank_channels(only).select("s1", "cand", select.provenance_channels(F.col("channels")).alias("channels"), "rank")
@@ -451,13 +493,13 @@ def rnk_01(spark, d):
     return linkage.raw_ranked(C(spark, d)).select("s1", "cand", "rank")
 
 
-_SETS = [("a", "romanized_ngram,phonetic_exact"), ("b", "raw_name_exact,postal_exact"), ("c", "canonical_name_token"), ("d", "canonical_name_exact,raw_name_exact,romanized_token")]
+_STRONGEST = "list_filter([" + ", ".join(f"'{c}'" for c in sorted(retrieve.CHANNELS, key=lambda c: (-retrieve.CHANNELS[c], list(retrieve.CHANNELS).index(c)))) + "], lambda c: list_contains(channels, c))[1]"
 
 
-@query("rnk_03_provenance", "select k, provenance, strongest, rescue from " + rows_sql([("a", "romanized_ngram,phonetic_exact", "romanized_ngram", True), ("b", "raw_name_exact,postal_exact", "raw_name_exact", False), ("c", "canonical_name_token", "canonical_name_token", False), ("d", "raw_name_exact,canonical_name_exact,romanized_token", "canonical_name_exact", False)], "k, provenance, strongest, rescue"))
+@query("rnk_03_provenance", _with14(f"select s1, cand, {_PROVENANCE} as provenance, {_STRONGEST} as strongest, len(list_filter(channels, lambda c: c not in ('postal_exact', 'romanized_ngram', 'phonetic_exact'))) = 0 as rescue from found14"))
 def rnk_03(spark, d):
-    rows = spark.createDataFrame(_SETS, "k string, c string").withColumn("c", F.array_sort(F.split("c", ",")))
-    return rows.select("k", select.provenance_channels(F.col("c")).alias("provenance"), select.strongest_channel(F.col("c")).alias("strongest"), select.rescue_only(F.col("c")).alias("rescue"))
+    rows = linkage.canonical_ranked(C(spark, d))
+    return rows.select("s1", "cand", select.provenance_channels(F.col("channels")).alias("provenance"), select.strongest_channel(F.col("channels")).alias("strongest"), select.rescue_only(F.col("channels")).alias("rescue"))
 
 
 @query("sel_01_capped", with_tables("select s1, cand, rank from selected", "selected"))
@@ -465,19 +507,11 @@ def sel_01(spark, d):
     return select.select(linkage.raw_ranked(C(spark, d)), linkage.CAP, linkage.FLOOR).select("s1", "cand", "rank")
 
 
-@query("sel_02_rescue_quota")
+@query("sel_02_rescue_quota", _with14(f"select s1, cand, rank from ({_selected14(_ranked14('from found14'))})"))
 def sel_02(spark, d):
     return select.select(linkage.canonical_ranked(C(spark, d)), linkage.CAP, linkage.FLOOR, linkage.QUOTA).select("s1", "cand", "rank")
 
 
-_POINTS = [(5, 100, 500), (10, 110, 600), (20, 111, 800)]
-
-
-@query("sel_03_choose_cap", "select 10 as cap")
-def sel_03(spark, d):
-    return select.choose_cap(spark.createDataFrame(_POINTS, "cap int, links int, pairs int"))
-
-
 _SWEEP = [5, 10, 20, 50]
 
 
@@ -489,6 +523,13 @@ def sel_04(spark, d):
     return select.sweep(ranked, _SWEEP).join(links, ["s1", "cand"], "left").groupBy("cap").agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("links"))
 
 
+@query("sel_03_choose_cap", with_tables(f"""points as (select cap, count(*) as pairs, count(l.cand) as links from (select unnest({_SWEEP}) as cap) c join placed p on p.place <= c.cap left join links l on l.s1 = p.s1 and l.cand = p.cand group by 1),
+steps as (select *, links - lag(links) over (order by cap) as dl, pairs - lag(pairs) over (order by cap) as dp from points)
+select max(cap) as cap from steps where cap < (select coalesce(min(cap), 1000000) from steps where dl <= 0 or dp > 100 * dl)""", "placed", "links").replace("\npoints as", ",\npoints as"))
+def sel_03(spark, d):
+    return select.choose_cap(sel_04(spark, d).select("cap", "links", "pairs"))
+
+
 # -- sinks
 
 
@@ -508,7 +549,8 @@ def snk_04(spark, d):
     return sinks.matching_rows(C(spark, d).truth.withColumnRenamed("targets", "predicted"))
 
 
-@query("snk_06_content_hash")
+@query("snk_06_content_hash", with_tables("""select sha256(string_agg(line, chr(10) order by line)) as sha256 from (select substr(h, 1, 2) || ':' || sum(('0x' || substr(h, 3, 12))::bigint)::varchar || ':' || count(*) as line
+ from (select sha256(concat_ws(chr(9), entity_id, business_name, business_address, country)) as h from ents) group by substr(h, 1, 2))""", "ents"))
 def snk_06(spark, d):
     return sinks.content_hash(C(spark, d).records, ["entity_id", "business_name", "business_address", "country"])
 
@@ -538,7 +580,10 @@ def met_03(spark, d):
     return entities(C(spark, d)).select("s1", F.round(metrics.entity_recall(F.col("hit_n"), F.col("truth_n")), 6).alias("recall"))
 
 
-@query("met_04_channel_hits")
+_ORDER = "case channel " + " ".join(f"when '{c}' then {k}" for k, c in enumerate(retrieve.CHANNELS)) + " end"
+
+
+@query("met_04_channel_hits", _with14(f"select channel, count(*) as hits, count(*) filter (at = least) as incremental from (select *, min(at) over (partition by s1, cand) as least from (select s1, cand, channel, {_ORDER} as at from (select f.s1, f.cand, unnest(f.channels) as channel from found14 f join links l on l.s1 = f.s1 and l.cand = f.cand))) group by 1", "links"))
 def met_04(spark, d):
     c = C(spark, d)
     return metrics.channel_hits(linkage.canonical_ranked(c), c.truth)
@@ -562,7 +607,16 @@ def met_06(spark, d):
     return metrics.sliced(entities(c), labels)
 
 
-@query("met_07_variants")
+def _variant(name: str, of: str) -> str:
+    """The summary of a variant's selection."""
+    per = f"""select t.s1, coalesce(len(k.cands), 0) as width, len(t.targets) as truth_n, len(list_intersect(coalesce(k.cands, []), t.targets)) as hit_n,
+ len(list_filter(t.targets, lambda x: starts_with(x, 'S2'))) as truth_s2, len(list_filter(t.targets, lambda x: starts_with(x, 'S3'))) as truth_s3,
+ len(list_filter(list_intersect(coalesce(k.cands, []), t.targets), lambda x: starts_with(x, 'S2'))) as hit_s2, len(list_filter(list_intersect(coalesce(k.cands, []), t.targets), lambda x: starts_with(x, 'S3'))) as hit_s3
+ from truth t left join (select s1, list(cand) as cands from ({_selected14(_ranked14(of))}) group by 1) k on k.s1 = t.s1"""
+    return f"select '{name}' as variant, {SUMMARY} from ({per})"
+
+
+@query("met_07_variants", _with14(" union all ".join([_variant("union", "from found14"), _variant("raw_only", _only14("raw_")), _variant("canonical_only", _only14("raw_", False))]), "truth"))
 def met_07(spark, d):
     c = C(spark, d)
     found = linkage.kept(linkage.canonical_ranked(c).drop("rank"))
@@ -577,16 +631,25 @@ def met_07(spark, d):
 
 @query("met_08_bootstrap")
 def met_08(spark, d):
-    e = entities(C(spark, d))
-    return metrics.bootstrap(e.select("s1", metrics.entity_recall(F.col("hit_n"), F.col("truth_n")).alias("delta")))
+    """The paired difference of a query's recall: canonical channels against raw ones, at the same cap."""
+    c = C(spark, d)
+    recall = lambda e, name: e.select("s1", metrics.entity_recall(F.col("hit_n"), F.col("truth_n")).alias(name))
+    challenger = metrics.per_entity(select.select(linkage.canonical_ranked(c), linkage.CAP, linkage.FLOOR, linkage.QUOTA), c.truth)
+    both = recall(entities(c), "old").join(recall(challenger, "new"), "s1")
+    return metrics.bootstrap(both.select("s1", (F.col("new") - F.col("old")).alias("delta")))
 
 
-_FRONT = [("a", 0.8, 10.0), ("b", 0.7, 12.0), ("c", 0.9, 20.0), ("d", 0.8, 10.0)]
+_POINTS = f"""points as (select 'cap ' || cap as name, count(l.cand) / (select count(*) from links)::double as recall, count(*) / (select count(*) from ents where source = 'S1')::double as width
+ from (select unnest({_SWEEP}) as cap) c join placed p on p.place <= c.cap left join links l on l.s1 = p.s1 and l.cand = p.cand group by cap)"""
 
 
-@query("met_09_pareto", f"select * from {rows_sql(_FRONT, 'name, recall, width')} where name <> 'b'".replace("0.8", "0.8::double").replace("10.0", "10.0::double").replace("0.7", "0.7::double").replace("12.0", "12.0::double").replace("0.9", "0.9::double").replace("20.0", "20.0::double"))
+@query("met_09_pareto", with_tables("", "placed", "links").rstrip() + ", " + _POINTS + " select name, round(recall, 9) as recall, round(width, 9) as width from points p where not exists (select 1 from points q where q.recall >= p.recall and q.width <= p.width and (q.recall > p.recall or q.width < p.width))")
 def met_09(spark, d):
-    return metrics.pareto(spark.createDataFrame(_FRONT, "name string, recall double, width double"))
+    """The front of the cap sweep: link recall against pairs a query."""
+    c = C(spark, d)
+    links = c.truth.agg(F.sum(F.size("targets"))).scalar()
+    points = linkage.kept(sel_04(spark, d).select(F.concat(F.lit("cap "), "cap").alias("name"), (F.col("links") / links).alias("recall"), (F.col("pairs") / c.queries.agg(F.count(F.lit(1))).scalar()).alias("width")))
+    return metrics.pareto(points).select("name", F.round("recall", 9).alias("recall"), F.round("width", 9).alias("width"))
 
 
 _F05 = "case when len(p) = 0 and len(t) = 0 then 1.0 when len(list_intersect(p, t)) = 0 then 0.0 else 1.25 * (len(list_intersect(p, t)) / len(p)::double) * (len(list_intersect(p, t)) / len(t)::double) / (0.25 * len(list_intersect(p, t)) / len(p)::double + len(list_intersect(p, t)) / len(t)::double) end"
