@@ -33,10 +33,10 @@ class Index:
     df: DataFrame
 
     def save(self, path: str) -> None:
-        """Written by shard, so that a query's country prunes partitions."""
-        self.records.write.partitionBy("country", "source").parquet(f"{path}/records")
-        self.postings.write.partitionBy("source").parquet(f"{path}/postings")
-        self.df.write.partitionBy("source").parquet(f"{path}/df")
+        """Written by shard (country, source), so that a query's country prunes partitions. Each shard is spread over
+        tasks by a hash of its rows: a country with most of the rows is no single task's work."""
+        for part, rows, spread in (("records", self.records, "entity_id"), ("postings", self.postings, "token"), ("df", self.df, "token")):
+            rows.hint("rebalance", "country", "source", spread).write.partitionBy("country", "source").parquet(f"{path}/{part}")
         self.records.sparkSession.createDataFrame([(SCHEMA_VERSION,)], "version string").write.json(f"{path}/manifest")
 
 
@@ -45,7 +45,8 @@ def load(spark: SparkSession, path: str) -> Index:
     found = spark.read.schema("version string").json(f"{path}/manifest").first()
     if found is None or found[0] != SCHEMA_VERSION:
         raise ValueError(f"{path}: index version {found and found[0]}, not {SCHEMA_VERSION}")
-    return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("records", "postings", "df")))
+    shard = lambda part: spark.read.parquet(f"{path}/{part}").withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("country", "source")})
+    return Index(*map(shard, ("records", "postings", "df")))
 
 
 def raw_records(targets: DataFrame) -> DataFrame:

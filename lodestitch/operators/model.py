@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Boosting rounds at most, and the gain on held-out queries below which a round is the last.
+ROUNDS, LEAST_GAIN = 300, 0.01
+
+
 def holdout(strata: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """(s1): of each stratum (columns besides s1) the first floor(n * fraction) queries in hash order."""
     by = [c for c in strata.columns if c != "s1"]
@@ -22,9 +26,9 @@ def vectors(features: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="__x").transform(features)
 
 
-def train(labelled: DataFrame, names: list[str], rounds: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 42) -> GBTClassificationModel:
+def train(labelled: DataFrame, names: list[str], rounds: int = ROUNDS, depth: int = 5, rate: float = 0.1, seed: int = 42) -> GBTClassificationModel:
     """Fit on rows (features, label, is_held); held-out rows only stop the boosting."""
-    gbt = GBTClassifier(featuresCol="__x", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed, validationIndicatorCol="is_held", minInstancesPerNode=5)
+    gbt = GBTClassifier(featuresCol="__x", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed, validationIndicatorCol="is_held", validationTol=LEAST_GAIN, minInstancesPerNode=5)
     return gbt.fit(vectors(labelled, names))
 
 

@@ -109,8 +109,10 @@ def token_neighbours(queries: DataFrame, targets: DataFrame, df_cap: int = 200,
     queries, targets: (id, country, words). The first post_cap targets of a token in `order`, over all countries, count.
     """
     posted = targets.select(F.col("entity_id").alias("cand"), F.col("country").alias("other"), F.col("words").alias("theirs"), F.col(order).alias("o"), F.explode("words").alias("token"))
-    w = W.partitionBy("token")
-    posted = posted.withColumn("df", F.count(F.lit(1)).over(w)).where(F.col("df") <= df_cap).withColumn("at", F.row_number().over(w.orderBy("o", "cand"))).where(F.col("at") <= post_cap)
+    # counted before the window, with partial sums: a common token's rows never meet
+    usable = targets.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= df_cap).select("token")
+    place = F.row_number().over(W.partitionBy("token").orderBy("o", "cand"))
+    posted = posted.join(usable, "token", "left_semi").withColumn("at", place).where(F.col("at") <= post_cap)
     q = queries.select("s1", "country", "words", F.explode("words").alias("token"))
     pairs = q.join(posted, "token").where("country = other").select("s1", "cand", "words", "theirs").distinct()
     both = F.size(F.array_intersect("words", "theirs"))

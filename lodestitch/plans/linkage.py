@@ -18,11 +18,13 @@ CAP, FLOOR, QUOTA = 50, 2, 10
 
 @dataclass
 class Corpus:
-    """records of all sources; queries are those of S1, targets the others with their source."""
+    """records of all sources; queries are those of S1, targets the others with their source; links (s1, cand) are the
+    true pairs, truth (s1, targets) gathers them for each query."""
 
     records: DataFrame
     queries: DataFrame
     targets: DataFrame
+    links: DataFrame
     truth: DataFrame
 
 
@@ -33,14 +35,22 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     queries, targets = by_source(records)
     own = docs.select("doc_id", "text", "lang").withColumn("k", F.md5(normalize_raw(F.col("text")).cast("binary")))
     key = own.select(entity_id(F.col("doc_id")).alias("entity_id"), F.coalesce("lang", F.lit("")).alias("country"), "k")
-    return Corpus(records, queries, targets, same_key_truth(key))
+    links = same_key_links(key)
+    return Corpus(records, queries, targets, links, gathered(key, links))
 
 
-def same_key_truth(keys: DataFrame) -> DataFrame:
-    """(s1, targets) of keys (entity_id, country, k): the targets of the query's country and key."""
-    theirs = keys.where("entity_id not like 'S1-%'").groupBy("country", "k").agg(F.array_sort(F.collect_list("entity_id")).alias("targets"))
-    own = keys.where("entity_id like 'S1-%'").select(F.col("entity_id").alias("s1"), "country", "k")
-    return own.join(theirs, ["country", "k"], "left").select("s1", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
+def same_key_links(keys: DataFrame) -> DataFrame:
+    """(s1, cand) of keys (entity_id, country, k): targets of the query's country and key. A pair is a row: a common key is
+    split by Spark's skew join, no group is gathered."""
+    theirs = keys.where("entity_id not like 'S1-%'").select(F.col("entity_id").alias("cand"), "country", "k")
+    return keys.where("entity_id like 'S1-%'").select(F.col("entity_id").alias("s1"), "country", "k").join(theirs, ["country", "k"]).select("s1", "cand")
+
+
+def gathered(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """(s1, targets): each query's links, in order; none for a query without."""
+    lists = links.groupBy("s1").agg(F.array_sort(F.collect_list("cand")).alias("targets"))
+    own = keys.where("entity_id like 'S1-%'").select(F.col("entity_id").alias("s1"))
+    return own.join(lists, "s1", "left").select("s1", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -70,7 +80,7 @@ def boilerplate(view: DataFrame, threshold: float = 0.05) -> DataFrame:
     return level("name_tokens").unionByName(level("address_tokens")).distinct()
 
 
-def matched(c: Corpus, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
+def matched(c: Corpus, rounds: int = model.ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(scored (s1, cand, prob), labelled features) of capped raw candidates: features, a model early-stopped on held-out queries, probabilities."""
     chosen = select.select(raw_ranked(c), CAP, FLOOR)
     rows = features.raw_features(chosen, c.records)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import indic, similarity, text
 from ..functions.unicode import fold_accents, nfkc
-from ..operators import decide, difficulty, features, index, metrics, model, represent, retrieve, select, sinks, splits, tokens, validate
+from ..operators import artifacts, decide, difficulty, features, index, metrics, model, represent, retrieve, select, sinks, splits, tokens, validate
+from ..schema import MISSES, TRUTH
 from ..sources import tables
+from ..storage import shared_path
 from . import fixtures, linkage
 from .sql import JACCARD, RATIO, SUMMARY, with_tables
 
@@ -54,11 +56,42 @@ def src_01(spark, d):
     return C(spark, d).records
 
 
-@query("src_02_requested_ids", with_tables("select entity_id, business_name from ents where source = 'S1' and doc_id_of(entity_id) % 2 = 0", "ents").replace("doc_id_of(entity_id)", "substr(entity_id, 4)::bigint"))
+@query("src_02_requested_ids", with_tables("select entity_id, business_name from ents where source = 'S1'", "ents"))
 def src_02(spark, d):
-    c = C(spark, d)
-    ids = c.queries.where(F.substring("entity_id", 4, 20).cast("bigint") % 2 == 0).select("entity_id").distinct()
-    return tables.only_ids(c.queries, ids).select("entity_id", "business_name")
+    """All queries, requested by a file of ids that is written and read back."""
+    c, at = C(spark, d), shared_path(spark)
+    artifacts.write_ids(c.queries, at, "entity_id")
+    return tables.only_ids(c.queries, tables.read_ids(spark, at)).select("entity_id", "business_name")
+
+
+_FLAT = "replace(replace(replace({0}, chr(9), ' '), chr(13), ' '), '\"', ' ')"
+
+
+@query("src_03_tsv_records", with_tables(f"select entity_id, {_FLAT.format('business_name')} as business_name, {_FLAT.format('business_address')} as business_address, country from ents", "ents"))
+def src_03(spark, d):
+    """All records, written as TSV and read back by the strict scan; tabs and quotes in texts become spaces first."""
+    at, flat = shared_path(spark), lambda c: F.translate(c, '\t\r"', "   ").alias(c)
+    sinks.write_tsv(C(spark, d).records.select("entity_id", flat("business_name"), flat("business_address"), "country"), at, ["entity_id"])
+    return tables.read_records(spark, at, "plain")
+
+
+@query("src_05_truth_file", with_tables("select s1, array_to_string(targets, ',') as targets, len(targets) as n from truth", "truth"))
+def src_05(spark, d):
+    """Truth, written as TSV and read back for exactly the queries."""
+    c, at = C(spark, d), shared_path(spark)
+    sinks.write_tsv(sinks.matching_rows(c.truth.withColumnRenamed("targets", "predicted")), at, ["source1_entity_id"])
+    back = tables.read_truth(spark, at, c.queries.select("entity_id"))
+    return back.select("s1", F.array_join(F.array_sort("targets"), ",").alias("targets"), F.size("targets").alias("n"))
+
+
+@query("src_16_token_resource", with_tables("", "ents").rstrip() + ", docs as (select case country when 'fr' then 'France' else upper(country) end as country, list_distinct(list_filter(string_split(business_name, ' '), lambda t: t <> '')) as t from ents), own as (select country, unnest(t) as token from docs), counted as (select country, token, count(*) as df from own group by 1, 2 union all select 'global', token, count(*) from own group by 2), sizes as (select country, count(*) as n from docs group by 1 union all select 'global', count(*) from docs) select country, token, round(ln((1.0 + n) / (1.0 + df)) + 1, 4) as idf from counted join sizes using (country)")
+def src_16(spark, d):
+    """Token statistics of names, saved and loaded again."""
+    at = shared_path(spark)
+    docs = C(spark, d).records.select(text.normalize_country(F.col("country")).alias("country"), F.filter(F.split("business_name", " "), lambda t: t != "").alias("t"))
+    found = tokens.idf(docs, "t")
+    artifacts.save_resource(found, found, found.where("is_boilerplate"), at)
+    return artifacts.load_resource(spark, at)[0]
 
 
 @query("src_04_truth", with_tables("select s1, array_to_string(targets, ',') as targets, len(targets) as n from truth", "truth"))
@@ -519,7 +552,7 @@ _SWEEP = [5, 10, 20, 50]
 def sel_04(spark, d):
     c = C(spark, d)
     ranked = linkage.kept(linkage.raw_ranked(c))
-    links = c.truth.select("s1", F.explode("targets").alias("cand"), F.lit(1).alias("hit"))
+    links = c.links.withColumn("hit", F.lit(1))
     return select.sweep(ranked, _SWEEP).join(links, ["s1", "cand"], "left").groupBy("cap").agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("links"))
 
 
@@ -555,11 +588,20 @@ def snk_06(spark, d):
     return sinks.content_hash(C(spark, d).records, ["entity_id", "business_name", "business_address", "country"])
 
 
-@query("snk_09_gold_slice", with_tables("select t.s1, len(t.targets) as n from truth t where substr(t.s1, 4)::bigint % 2 = 0", "truth"))
+@query("snk_09_gold_slice", with_tables("select t.s1, len(t.targets) as n from truth t", "truth"))
 def snk_09(spark, d):
     c = C(spark, d)
-    wanted = c.truth.where(F.substring("s1", 4, 20).cast("bigint") % 2 == 0).select("s1")
-    return sinks.gold_slice(c.truth, wanted).select("s1", F.size("targets").alias("n"))
+    return sinks.gold_slice(c.truth, c.queries.select(F.col("entity_id").alias("s1"))).select("s1", F.size("targets").alias("n"))
+
+
+@query("snk_03_miss_file", with_tables("""select s1 as source1_entity_id, array_to_string(truth_list, ',') as truth_entity_ids, array_to_string(list_sort(m), ',') as missed_truth_ids, case when len(m) = 0 then 'complete' else 'miss' end as status
+ from (select t.s1, t.targets as truth_list, list_filter(t.targets, lambda x: not list_contains(coalesce(k.cands, []), x)) as m from truth t left join kept k on k.s1 = t.s1)""", "truth", "kept"))
+def snk_03(spark, d):
+    """The miss audit, written under its header and read back."""
+    c, at = C(spark, d), shared_path(spark)
+    ranked = linkage.kept(linkage.raw_ranked(c))
+    artifacts.write_misses(metrics.misses(ranked, select.select(ranked, linkage.CAP), c.truth), at)
+    return tables.read_tsv(spark, at, MISSES, "plain").select("source1_entity_id", "truth_entity_ids", "missed_truth_ids", "status")
 
 
 # -- metrics
@@ -583,7 +625,7 @@ def met_03(spark, d):
 _ORDER = "case channel " + " ".join(f"when '{c}' then {k}" for k, c in enumerate(retrieve.CHANNELS)) + " end"
 
 
-@query("met_04_channel_hits", _with14(f"select channel, count(*) as hits, count(*) filter (at = least) as incremental from (select *, min(at) over (partition by s1, cand) as least from (select s1, cand, channel, {_ORDER} as at from (select f.s1, f.cand, unnest(f.channels) as channel from found14 f join links l on l.s1 = f.s1 and l.cand = f.cand))) group by 1", "links"))
+@query("met_04_channel_hits", _with14(f"select channel, count(*) as hits, sum((place = lo)::int)::bigint as incremental from (select *, min(place) over (partition by s1, cand) as lo from (select s1, cand, channel, {_ORDER} as place from (select f.s1, f.cand, unnest(f.channels) as channel from found14 f join links l on l.s1 = f.s1 and l.cand = f.cand))) group by 1", "links"))
 def met_04(spark, d):
     c = C(spark, d)
     return metrics.channel_hits(linkage.canonical_ranked(c), c.truth)
@@ -647,7 +689,7 @@ _POINTS = f"""points as (select 'cap ' || cap as name, count(l.cand) / (select c
 def met_09(spark, d):
     """The front of the cap sweep: link recall against pairs a query."""
     c = C(spark, d)
-    links = c.truth.agg(F.sum(F.size("targets"))).scalar()
+    links = c.links.agg(F.count(F.lit(1))).scalar()
     points = linkage.kept(sel_04(spark, d).select(F.concat(F.lit("cap "), "cap").alias("name"), (F.col("links") / links).alias("recall"), (F.col("pairs") / c.queries.agg(F.count(F.lit(1))).scalar()).alias("width")))
     return metrics.pareto(points).select("name", F.round("recall", 9).alias("recall"), F.round("width", 9).alias("width"))
 
@@ -848,15 +890,23 @@ def val_01(spark, d):
     return bad.select("s1", F.array_join(F.array_sort(F.split("extra", ",")), ",").alias("extra"))
 
 
-_FILE = [("S1-1", "S2-1,S3-1", True), ("S1-1", "", True), ("S1-2", "S1-9,S2-2", True), ("S1-3", "S2-1,S2-1", True), ("S1-4", "X-1", True), ("junk", "", False), ("S1-8", "S2-77", True)]
+_SPOILT = """rows as (select s1, array_to_string(targets, ',') as ids from truth where not ends_with(s1, '7') union all select s1, s1 from truth where ends_with(s1, '3') union all select s1, 'X-' || s1 from truth where ends_with(s1, '6') union all select 'S1-none', ''),
+items as (select s1, unnest(string_split(ids, ',')) as o from rows where trim(ids) <> ''),
+faults as (select 'duplicate_row' as rule, s1 as o from rows group by s1 having count(*) > 1 union all select distinct 'self_match', o from items where starts_with(o, 'S1-') union all select distinct 'wrong_prefix', o from items where starts_with(o, 'X-')
+ union all select 'missing_entity', s1 from truth where s1 not in (select s1 from rows) union all select 'unexpected_entity', 'S1-none')"""
 
 
-@query("val_02_violations", "select rule, offenders, examples from " + rows_sql([("duplicate_row", 1, "S1-1"), ("malformed_row", 1, "junk"), ("missing_entity", 1, "S1-5"), ("repeated_id", 1, "S1-3"), ("self_match", 1, "S1-9"), ("unexpected_entity", 1, "S1-8"), ("unknown_id", 1, "S2-77"), ("wrong_prefix", 1, "X-1")], "rule, offenders, examples"))
+@query("val_02_violations", with_tables("", "truth").rstrip() + ", " + _SPOILT + " select rule, count(*) as offenders, (select string_agg(o, ', ' order by o) from (select o from faults g where g.rule = f.rule order by o limit 5)) as examples from faults f group by rule")
 def val_02(spark, d):
-    rows = spark.createDataFrame(_FILE, "s1 string, ids string, tabbed boolean")
-    required = spark.createDataFrame([(f"S1-{k}",) for k in range(1, 6)], "s1 string")
-    valid = spark.createDataFrame([("S2-1",), ("S2-2",), ("S3-1",)], "entity_id string")
-    return validate.report(validate.violations(rows, required, valid))
+    """The rules over a file of all matches with faults put in: queries left out, rows again, queries and foreign ids as matches."""
+    c, at = C(spark, d), shared_path(spark)
+    own = c.truth.select("s1", F.array_join("targets", ",").alias("ids"))
+    ends = lambda x: F.col("s1").endswith(x)
+    spoilt = own.where(~ends("7")).unionByName(own.where(ends("3")).select("s1", F.col("s1").alias("ids"))).unionByName(own.where(ends("6")).select("s1", F.concat(F.lit("X-"), "s1").alias("ids")))
+    spoilt = spoilt.unionByName(spark.createDataFrame([("S1-none", "")], "s1 string, ids string"))
+    sinks.write_tsv(spoilt.select(*[F.col(a).alias(b) for a, b in zip(("s1", "ids"), TRUTH)]), at, [TRUTH[0]])
+    rows = tables.read_tsv(spark, at, TRUTH, "plain").select(F.col(TRUTH[0]).alias("s1"), F.col(TRUTH[1]).alias("ids"), F.lit(True).alias("tabbed"))
+    return validate.report(validate.violations(rows, c.truth.select("s1"), c.targets))
 
 
 @query("orc_01_end_to_end")
