@@ -71,7 +71,8 @@ def bucket(gram: Column, buckets: int) -> Column:
 
 def _counted(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, raw, own) of docs (text, raw, own): each n-gram as often as the two columns say."""
-    grams = worded(docs).select("raw", "own", F.explode(ngrams(F.col("__hashes"))).alias("gram"))
+    # explode_outer: for explode Spark would put a filter on the n-grams' number below, and compute them twice
+    grams = worded(docs).select("raw", "own", F.explode_outer(ngrams(F.col("__hashes"))).alias("gram"))
     return grams.groupBy(bucket(F.col("gram"), buckets).alias("bucket")).agg(F.sum("raw").alias("raw"), F.sum("own").alias("own"))
 
 
@@ -107,7 +108,9 @@ def _surplus(docs: DataFrame) -> DataFrame:
     sizes = [pairs.groupBy(c).agg(F.sum("n").alias(f"{c}_n")) for c in ("least", "most")]
     shared = pairs.join(sizes[0], "least").join(sizes[1], "most").select("least", "most", F.greatest("least_n", "most_n").alias("group")).where("group > 1")
     shared = stored(shared.withColumn("key", F.xxhash64("least", "most")))
-    again = rows.where(may_contain(bloom_filter(shared, F.col("key"), FILTER_WORDS), F.xxhash64("least", "most"), FILTER_WORDS))
+    # as in `judge`, a term that is always true keeps filters above the projections of `sampled`
+    known = may_contain(bloom_filter(shared, F.col("key"), FILTER_WORDS), F.xxhash64("least", "most"), FILTER_WORDS) & (F.monotonically_increasing_id() >= 0)
+    again = rows.withColumn("again", known).where("again")
     return again.join(shared, ["least", "most"]).select("text", (F.floor(F.lit(ONE) / F.col("group")) - ONE).cast("bigint").alias("n"))
 
 
