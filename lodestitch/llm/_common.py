@@ -2,51 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset and everything runs in one
-    process (tests), a temporary folder; on a cluster an unset folder is an error, since a
-    machine's own folder can't be read by the others."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    app = spark.sparkContext.applicationId
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        if app not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="lodestitch-")
-        root = _LOCAL_ROOTS[app]
-    return f"{root.rstrip('/')}/lodestitch-{app}"
-
-
-def shared_path(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
-
+from ..storage import remove, shared_path, stored
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete folders of the shared root that no later read needs."""
-    jvm = spark._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: cuts the lineage, survives lost
-    executors, and fixes what is computed once (row numbers of a scan, for example)."""
-    spark = df.sparkSession
-    path = path or shared_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cells", "components", "remove", "shared_path", "stored"]
 
 
 def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
@@ -105,12 +66,3 @@ def cells(rows: DataFrame, key: list[str], part: Column, size: int) -> DataFrame
         .withColumn("cell_j", F.greatest("block", "__j"))
         .drop("__n", "__b", "__j")
     )
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def renamed_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Only the wanted columns, so that extra columns of whatever names can't clash."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])

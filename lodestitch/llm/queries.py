@@ -84,6 +84,33 @@ def _escaped(text: str) -> str:
 
 _SAID = "</s>[INST] ok [/INST]"
 _PARTS = r"'(?s)://([^/?#]*)([^?#]*)'"
+
+
+def _crc_entry(k: int) -> int:
+    """An entry of the table of CRC-32, from its polynomial."""
+    for _ in range(8):
+        k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+    return k
+
+
+def _draw(level: str, child: int, weight: float) -> str:
+    return f"-ln((('0x' || substr(md5('{level}{child}:' || key), 1, 13))::bigint + 0.5) / {1 << 52}::double) / {weight}::double"
+
+
+def _sharded() -> str:
+    """shard and grown_shard of a key: the least draw among regions, then racks, then shards."""
+    leaves = sharding.tree(8)
+    first = lambda level, a, b, weight, x, y: f"case when {_draw(level, a, weight)} <= {_draw(level, b, weight)} then {x} else {y} end"
+    rack = lambda k: first("shard", 2 * k, 2 * k + 1, 1, 2 * k, 2 * k + 1)
+    region = lambda k: first("rack", 2 * k, 2 * k + 1, 2, rack(2 * k), rack(2 * k + 1))
+    assert [(x.region, x.rack, x.weight) for x in leaves] == [(s // 4, s // 2, 1.0) for s in range(8)]
+    return f"{first('region', 0, 1, 4, region(0), region(1))} as shard, {_draw('region', 2, 1)} < least({_draw('region', 0, 4)}, {_draw('region', 1, 4)}) as moves"
+
+
+#: Least node reachable from each by links(u, v), itself included.
+_REACHED = "reached as (select id, id as root from nodes union select r.id, l.v from reached r join links l on l.u = r.root), comp as (select id, min(root) as component_id from reached group by 1)"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL = {
     "op2_url_filter": f"""
 with entries(host, path, verdict, is_rule) as (values {", ".join(f"('{h}', '{p}', '{v}', true)" for v, h, p in RULES)}, {", ".join(f"('{u.partition('/')[0]}', '/{u.partition('/')[2]}', 'block', false)" for u in LISTED)}),
@@ -101,5 +128,25 @@ sized as (select *, sum({len("".join(chat_format.MARKS))} + length({_escaped("ro
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
  sum(case when role = 'assistant' or back = 1 then upto else 0 end)::bigint as formatted_chars, count(*) filter (role = 'assistant') as n_examples from sized group by conv_id
+""",
+    "op5_sharding": f"""
+with recursive tab as (select [{", ".join(str(_crc_entry(k)) for k in range(256))}]::bigint[] as t), raw as (select doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, 'null') as key from documents),
+sized as (select doc_id, key, strlen(text) + 1 as size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) as text_crc32 from raw, tab),
+dealt as (select *, {_sharded()} from sized)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as law, shard::int as shard, row_number() over (partition by shard order by doc_id nulls first) - 1 as slot, (case when moves then 8 else shard end)::int as grown_shard from dealt
+""",
+    "op7_embedding_neardup": f"""
+with recursive own as (select vec_id as id, label, embedding::double[] as v from embeddings),
+usable as (select * from own where label is not null and v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+nodes as (select id from own),
+links as (select a.id as u, b.id as v from usable a join usable b on a.label = b.label and a.id <> b.id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.98), {_REACHED}
+select c.id as vec_id, (select count(*) from links l where l.u = c.id) as n_links, component_id, c.id = component_id as kept from comp c
+""",
+    "op9_minhash_neardup": f"""
+with recursive worded as (select doc_id as id, {_WORDS} as w from documents),
+sets as (select id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from worded),
+every as (select id, len(s) as n, unnest(s) as x from sets), runs as (select id, n, x from (select *, count(*) over (partition by x) as df from every) where df > 1), nodes as (select id from sets),
+links as (select a.id as u, b.id as v from runs a join runs b on a.x = b.x and a.id <> b.id and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) group by a.id, b.id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))), {_REACHED}
+select s.id as doc_id, len(s.s)::bigint as n_shingles, component_id, s.id = component_id as kept from sets s join comp c on c.id = s.id
 """,
 }
