@@ -138,14 +138,25 @@ def src_08(spark, d):
 # -- representation
 
 
-@query("nrm_01_nfkc", "select entity_id, business_name as name from " + rows_sql([("a", "Cafe 1"), ("b", "file"), ("c", "ABC"), ("d", "")], "entity_id, business_name"))
+def golden(spark: SparkSession, rows: DataFrame, known: list[tuple], columns: str) -> DataFrame:
+    """Rows of the corpus, and rows with published results besides."""
+    return rows.unionByName(spark.createDataFrame(known, columns))
+
+
+_FORMS = [("a", "Cafe\x07 1", "Cafe 1"), ("b", "ﬁle", "file"), ("c", "ＡＢＣ", "ABC"), ("d", None, "")]
+
+
+@query("nrm_01_nfkc", with_tables("select entity_id, nfc_normalize(regexp_replace(business_name, '[\\x00-\\x1f\\x7f]', '', 'g')) as name from ents union all select * from " + rows_sql([(k, v) for k, _, v in _FORMS], "entity_id, name"), "ents"))
 def nrm_01(spark, d):
-    return spark.createDataFrame([("a", "Cafe\x07 1"), ("b", "ﬁle"), ("c", "ＡＢＣ"), ("d", None)], "entity_id string, t string").select("entity_id", nfkc(F.col("t")).alias("name"))
+    """The corpus holds no compatibility forms, so NFC is its NFKC; the rows besides do."""
+    rows = golden(spark, C(spark, d).records.select("entity_id", F.col("business_name").alias("t")), [(k, t) for k, t, _ in _FORMS], "entity_id string, t string")
+    return rows.select("entity_id", nfkc(F.col("t")).alias("name"))
 
 
-@query("nrm_02_script", "select entity_id, script from " + rows_sql([(r[0], r[5]) for r in fixtures.CANONICAL], "entity_id, script"))
+@query("nrm_02_script", with_tables("select entity_id, case when regexp_matches(business_name, '[\\x{0900}-\\x{0D7F}]') then 'of India' else 'latin' end as script from ents union all select * from " + rows_sql([(r[0], r[5]) for r in fixtures.CANONICAL], "entity_id, script"), "ents"))
 def nrm_02(spark, d):
-    return fixture(spark).select("entity_id", indic.script(F.col("business_name")).alias("script"))
+    rows = C(spark, d).records.select("entity_id", "business_name").unionByName(fixture(spark).select("entity_id", "business_name"))
+    return rows.select("entity_id", indic.script(F.col("business_name")).alias("script"))
 
 
 @query("nrm_03_fold_accents", with_tables("select entity_id, strip_accents(business_name) as folded from ents", "ents"))
@@ -189,9 +200,11 @@ def nrm_06f(spark, d):
 _ROMAN = [("भारत", "bhaarata"), ("नमस्ते", "namaste"), ("தமிழ்", "tamizh"), ("ABC 123 !@# 🚀 XYZ", "ABC 123 !@# 🚀 XYZ")]
 
 
-@query("nrm_07_romanize", f"select raw, roman from {rows_sql(_ROMAN, 'raw, roman')}")
+@query("nrm_07_romanize", with_tables(f"select business_name as raw, business_name as roman from ents where not regexp_matches(business_name, '[\\x{{0900}}-\\x{{0D7F}}]') union all select raw, roman from {rows_sql(_ROMAN, 'raw, roman')}", "ents"))
 def nrm_07(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _ROMAN], "raw string").select("raw", indic.romanize(F.col("raw")).alias("roman"))
+    """Names without a letter of these scripts stay as they are; the rows besides have some."""
+    rows = golden(spark, C(spark, d).records.select(F.col("business_name").alias("raw")), [(a,) for a, _ in _ROMAN], "raw string")
+    return rows.select("raw", indic.romanize(F.col("raw")).alias("roman"))
 
 
 @query("nrm_08_normalize_raw", with_tables("select entity_id, name, address from norm", "norm"))
@@ -769,11 +782,19 @@ def fea_04(spark, d):
     return _raw_features(spark, d)
 
 
-@query("fea_06_postal_flags", "select k, e, c, m from " + rows_sql([("a", 0, 0, 1), ("b", 0, 1, 0), ("c", 1, 0, 0)], "k, e, c, m").replace("(values", "(select col0 as k, col1::double as e, col2::double as c, col3::double as m from (values").replace(") t(k, e, c, m)", ") v(col0, col1, col2, col3)) t(k, e, c, m)"))
+_POSTAL = [("a", "-", None, "12345", 0.0, 0.0, 1.0), ("b", "-", "12345", "99999", 0.0, 1.0, 0.0), ("c", "-", "1", "1", 1.0, 0.0, 0.0)]
+_CODE = "coalesce(case country when 'fr' then nullif(regexp_extract({0}.address, '(^| )([0-9]{{5}})( |$)', 2), '') else coalesce(nullif(regexp_extract({0}.address, '(^| )([1-9][0-9]{{5}})( |$)', 2), ''), nullif(regexp_extract({0}.address, '(^| )([0-9]{{5}})( |$)', 2), '')) end, '')"
+
+
+@query("fea_06_postal_flags", with_tables(f"select s1, cand, (x <> '' and x = y)::int::double as e, (x <> '' and y <> '' and x <> y)::int::double as c, (x = '' or y = '')::int::double as m from (select s.s1, s.cand, {_CODE.format('l').replace('country', 'l.country')} as x, {_CODE.format('r').replace('country', 'r.country')} as y from selected s join norm l on l.entity_id = s.s1 join norm r on r.entity_id = s.cand) union all select s1, cand, e::double, c::double, m::double from " + rows_sql([(k, z, e, c, m) for k, z, _, _, e, c, m in _POSTAL], "s1, cand, e, c, m"), "selected", "norm"))
 def fea_06(spark, d):
-    rows = spark.createDataFrame([("a", None, "12345"), ("b", "12345", "99999"), ("c", "1", "1")], "k string, x string, y string")
-    e, c, m = text.postal_flags(F.col("x"), F.col("y"))
-    return rows.select("k", e.alias("e"), c.alias("c"), m.alias("m"))
+    """Selected pairs by the postal codes of their canonical records, and rows with codes besides: the corpus has none."""
+    c = C(spark, d)
+    codes = represent.canonical(c.records).select("entity_id", "postal_code")
+    pairs = select.select(linkage.raw_ranked(c), linkage.CAP).select("s1", "cand")
+    pairs = pairs.join(codes.select(F.col("entity_id").alias("s1"), F.col("postal_code").alias("x")), "s1").join(codes.select(F.col("entity_id").alias("cand"), F.col("postal_code").alias("y")), "cand")
+    e, conflict, m = text.postal_flags(F.col("x"), F.col("y"))
+    return golden(spark, pairs.select("s1", "cand", "x", "y"), [r[:4] for r in _POSTAL], "s1 string, cand string, x string, y string").select("s1", "cand", e.alias("e"), conflict.alias("c"), m.alias("m"))
 
 
 @query("fea_07_canonical_features")
