@@ -99,9 +99,11 @@ def _clean(text: Column) -> Column:
 
 
 def _mapped(text: Column, rules) -> Column:
+    """Every rule in turn; a text that none of them fits is looked through once, not once a rule."""
+    out = text
     for rule, value in rules:
-        text = F.regexp_replace(text, pattern(rule), f" {value} ")
-    return text
+        out = F.regexp_replace(out, pattern(rule), f" {value} ")
+    return F.when(text.rlike(pattern("|".join(f"(?:{rule})" for rule, _ in rules))), out).otherwise(text)
 
 
 def _spelled(text: Column) -> Column:
