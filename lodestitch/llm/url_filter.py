@@ -109,7 +109,8 @@ def keyed(entries: DataFrame) -> DataFrame:
 
 
 def possible(pages: DataFrame, listed: DataFrame) -> DataFrame:
-    """(page_id, host, path, hits) of every row; hits are the keys of `listed` (from `keyed`) that the filter lets through."""
+    """(page_id, host, path, hits, row) of every row; hits are the keys of `listed` (from `keyed`) that the filter lets
+    through, row a number of its own."""
     seen = listed.groupBy("is_rule", "labels", "start").agg(F.count(F.lit(1)).alias("n")).collect()
     words = max(MIN_WORDS, min(MAX_WORDS, 1 << (sum(r["n"] for r in seen) * KEY_BITS // 64).bit_length()))
     masks = bloom_filter(listed, F.col("key"), words)
@@ -119,7 +120,8 @@ def possible(pages: DataFrame, listed: DataFrame) -> DataFrame:
         host = F.col("host" if is_rule else "canonical")
         key = _key(F.lit(is_rule), F.substring_index(host, ".", -labels), F.substring("path", 1, n))
         hits.append(F.when((_labels(host) >= labels) & (F.length("path") >= n) & may_contain(masks, key, words), key))
-    return rows.withColumn("hits", F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")).drop("canonical")
+    rows = rows.withColumns({"hits": F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>"), "row": F.monotonically_increasing_id()})
+    return rows.drop("canonical")
 
 
 def judge(pages: DataFrame, entries: DataFrame, otherwise: str = "allow") -> DataFrame:
@@ -130,8 +132,9 @@ def judge(pages: DataFrame, entries: DataFrame, otherwise: str = "allow") -> Dat
     """
     entries = keyed(entries)
     rows = possible(pages, entries)
-    none = rows.where(F.size("hits") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"), F.lit(False).alias("listed"))
-    some = rows.where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.explode("hits")).drop("hits")
+    # `row >= 0` is always true: a filter that reads it stays above the projection, which is then evaluated once
+    none = rows.where((F.size("hits") == 0) & (F.col("row") >= 0)).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"), F.lit(False).alias("listed"))
+    some = rows.where((F.size("hits") > 0) & (F.col("row") >= 0)).withColumn("key", F.explode("hits")).drop("hits")
     listed = entries.select("key", F.col("host").alias("e_host"), F.col("path").alias("e_path"), "verdict", "is_rule")
     found = some.join(listed, "key", "left").withColumn("fits", F.coalesce(F.startswith("path", "e_path"), F.lit(False)))
     best = F.max(F.when(F.col("fits") & F.col("is_rule"), F.struct(F.length(F.concat("e_host", "e_path")).alias("n"), F.concat("e_host", "e_path").alias("rule"), "verdict")))

@@ -90,6 +90,13 @@ def test_classifier(spark):
     assert quality_classifier.keep_good(docs(spark, rows), labels).columns == ["doc_id", "text", "score", "host"]
 
 
+def test_classifier_takes_several_labels_of_an_id_and_very_long_texts(spark):
+    rows = [(k, ("fine prose words " if k % 2 else "## && %% ") * 30) for k in range(60)] + [(60, LONG), (61, LONG)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(1, 1, 0), (1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_classifier.classify(docs(spark, rows), labels).collect()}
+    assert all(got[k].predicted == k % 2 for k in range(60)) and got[60].score == got[61].score
+
+
 def test_scorer_equals_the_features_average():
     model = quality_classifier.Model([0, 1], np.random.default_rng(0).normal(size=(quality_classifier.BUCKETS, 2)).astype(np.float32), np.array([0.1, 0.2]))
     for t in ("a b b b c", "", "Ünï code " * 5):
@@ -278,6 +285,52 @@ def test_chat(spark):
     assert chat_format.digests(chat_format.examples(turns.limit(0))).count() == 0
 
 
+def test_chat_examples_hold_all_turns_before_and_train_one(spark):
+    rows = [(1, k, "assistant" if k % 3 == 2 else "user", f"t{k} </s>" * (k + 1)) for k in range(12)] + [(2, 0, "user", "x" * 300_000), (2, 1, "assistant", "y" * 200_000)]
+    turns = spark.createDataFrame([(*r, "clash", 9) for r in rows], "conv_id long, turn long, role string, text string, example string, n_turns int")
+    got = sorted(chat_format.examples(turns).collect(), key=lambda r: (r.conv_id, r.example))
+    targets = [(c, k) for c, k, role, _ in rows if role == "assistant"]
+    assert [(r.conv_id, r.n_turns - 1) for r in got] == targets
+    for r in got:
+        before = [(role, t) for c, k, role, t in rows if c == r.conv_id and k < r.n_turns]
+        assert [x[:2] for x in chat_format.parse(r.text)] == before
+        assert chat_format.unescape(r.text[r.loss_start : r.loss_end]) == before[-1][1]
+    assert len(chat_format.digests(chat_format.examples(turns)).columns) == 7
+
+
+def test_changed_weights_move_documents_only_through_the_changed_subtree(spark):
+    leaves = sharding.tree(8)
+    heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else x.weight) for x in leaves]
+    keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    got = keys.select(sharding.shard_of(F.col("k"), leaves).alias("a"), sharding.shard_of(F.col("k"), heavier).alias("b")).groupBy("a", "b").count().collect()
+    moved = [(r.a, r.b, r["count"]) for r in got if r.a != r.b]
+    # shard 5 gains; rack 2 and region 1 grow with it, so documents also come into rack 2 and region 1, and none goes the other way
+    assert moved and all((b // 4 == 1 and a // 4 == 0) or (b // 2 == 2 and a // 2 == 3) or (a, b) == (4, 5) for a, b, _ in moved)
+    assert not any(b == 4 and a == 5 for a, b, _ in moved)
+    sizes = Counter()
+    for r in got:
+        sizes[r.b] += r["count"]
+    total = sum(x.weight for x in heavier)
+    squares = sum((sizes[x.shard] - 20_000 * x.weight / total) ** 2 / (20_000 * x.weight / total) for x in heavier)
+    assert squares < 24.3  # chi-square of 7 degrees, one case in a thousand
+    removed = [x for x in leaves if x.shard != 3]
+    gone = keys.select(sharding.shard_of(F.col("k"), leaves).alias("a"), sharding.shard_of(F.col("k"), removed).alias("b")).where("a <> b").distinct().collect()
+    assert all(r.b != 3 and (r.a == 3 or r.a // 2 == 1 or r.a // 4 == 0) for r in gone)
+
+
+def test_sharding_equals_its_sql_with_a_very_long_text(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, f"té {k} " * (k % 4)) for k in range(60)] + [(60, None), (61, "x" * 20_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = queries.QUERIES["op5_sharding"](spark, str(tmp_path))
+    want = con.execute(queries.ORACLE_SQL["op5_sharding"])
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
 def test_sharding(spark):
     rows = [(k, f"text {k}" * (k % 5)) for k in range(400)] + [(None, None), (7, "again"), (7, "again")]
     got = sharding.assign(docs(spark, rows), sharding.tree(8)).collect()
