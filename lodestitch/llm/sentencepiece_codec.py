@@ -44,6 +44,8 @@ UNKNOWN = 10.0
 ZIPF = 2.7
 #: Segments whose ids a worker keeps, and their characters at most.
 CACHE_SEGMENTS, CACHE_CHARS = 400_000, 64
+#: Characters of a segment beyond which its tables are flat arrays.
+LONG = 1 << 12
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _CODECS: dict[str, "Codec"] = {}
 
@@ -71,25 +73,24 @@ class Codec(dict):
 
     def viterbi(self, segment: str) -> list[tuple[int, int, int]]:
         """(start, end, id or -1) of the best pieces; -1 for a character of no piece."""
-        n, low = len(segment), float("-inf")
-        best, came, via = array("d", [low]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
-        best[0], reached, least = 0.0, 0, self.least
-
-        def close(upto: int) -> None:
-            """Positions up to `upto` have all their pieces: one uncovered character may still reach them."""
-            nonlocal reached
-            while reached < upto:
-                reached += 1
-                if best[reached - 1] + least > best[reached]:
-                    best[reached], came[reached], via[reached] = best[reached - 1] + least, reached - 1, -1
-
+        n, low, least = len(segment), float("-inf"), self.least
+        flat = n > LONG  # lists are faster, arrays smaller
+        best = array("d", [low]) * (n + 1) if flat else [low] * (n + 1)
+        came, via = (array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)) if flat else ([0] * (n + 1), [-1] * (n + 1))
+        best[0], reached = 0.0, 0
         for last, (length, score, k) in self.automaton.iter(segment):
-            close(last)
+            while reached < last:  # positions before have all their pieces: one uncovered character may still reach them
+                reached += 1
+                if best[reached] < (step := best[reached - 1] + least):
+                    best[reached], came[reached], via[reached] = step, reached - 1, -1
             end = last + 1
             total = best[end - length] + score
             if total > best[end]:
                 best[end], came[end], via[end] = total, end - length, k
-        close(n)
+        while reached < n:
+            reached += 1
+            if best[reached] < (step := best[reached - 1] + least):
+                best[reached], came[reached], via[reached] = step, reached - 1, -1
         out, at = [], n
         while at:
             out.append((came[at], at, via[at]))
@@ -124,10 +125,7 @@ class Codec(dict):
         return b"".join(parts)
 
     def decode(self, ids: np.ndarray) -> str:
-        out = bytearray()
-        for k in ids.tolist():
-            out += self.shown[k]
-        return out.decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
 def log_probabilities(scores: list[float]) -> list[float]:
