@@ -41,7 +41,7 @@ BUCKETS = 1 << 17
 #: Lengths of the character n-grams.
 GRAMS = (3, 4, 5)
 #: Words whose sums a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
