@@ -13,8 +13,9 @@ from .select import provenance_channels, provenance_raw, strongest_channel
 
 
 def write_tsv(df: DataFrame, path: str, order: list[str]) -> None:
-    """Rows in order, header, no quotes, '' for an empty list. Sorted by ranges, so no task takes all rows."""
-    df.sort(*order).write.csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
+    """Rows in order, header, no quotes, '' for an empty list; white space at the ends of a field stays, which Spark's writer
+    would cut. Sorted by ranges, so no task takes all rows."""
+    df.sort(*order).write.csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def provenance_rows(selected: DataFrame) -> DataFrame:

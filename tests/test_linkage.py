@@ -135,6 +135,13 @@ def test_tsv_round_trip_keeps_empty_lists(spark, tmp_path):
         sinks.matching_rows(spark.createDataFrame([("S1-a", ["S2-1", "S2-1"])], "s1 string, predicted array<string>"))
 
 
+def test_tsv_round_trip_keeps_white_space_at_the_ends(spark, tmp_path):
+    rows = [("S1-1", " token =  5f ", "a\\", "fr"), ("S1-2", "\u00a0b\u00a0", "  ", "fr "), ("S1-3", "", "#c \\ d", " ")]
+    path = str(tmp_path / "r")
+    sinks.write_tsv(spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string"), path, ["entity_id"])
+    assert sorted(map(tuple, tables.read_records(spark, path, "plain").collect())) == rows
+
+
 def test_readers_refuse_other_headers(spark, tmp_path):
     f = tmp_path / "a.tsv"
     f.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"a\tb"\t\tUS\n')
