@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,28 @@ from ..storage import remove, shared_path, stored
 __all__ = ["cells", "components", "remove", "shared_path", "stored"]
 
 
+#: Edges that one task joins at once, in place of further rounds.
+FEW_EDGES = 1 << 15
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(u, to) of every node of all edges (u, v): union-find in memory."""
+    parent: dict = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            a, b = top(a), top(b)
+            if a != b:
+                parent[b] = a
+    if parent:
+        yield pd.DataFrame({"u": list(parent), "to": [top(x) for x in list(parent)]})
+
+
 def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
     """Connected components of edges (u, v): one row (node, root) per node that has an edge.
 
@@ -17,18 +42,20 @@ def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
     with the least hash, edges are renamed, and loops and repeats go. Nodes shrink by a constant
     factor a round whatever the shape, so a long chain costs logarithmic rounds. Only minima and
     equi-joins against unique keys are used: no group is ever gathered, and a node with very
-    many edges is split by Spark's skew join. `root` is a name of the component, not its least node.
+    many edges is split by Spark's skew join. What is left at FEW_EDGES or fewer ends in one task:
+    rounds cost the driver some dozens of stages each. `root` is a name of the component, not its least node.
     """
     spark = edges.sparkSession
     here = shared_path(spark)
     stored(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{here}/e0")
     e, named, k = spark.read.parquet(f"{here}/e0"), None, 0
-    while not e.isEmpty():
+    while left := e.count():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         h = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
         to = both.groupBy("u").agg(F.min(F.least(h("u"), h("v"))).alias("m")).select("u", F.col("m.n").alias("to"))
-        to = stored(to, f"{here}/r{k}")
-        renamed = (
+        few = left <= FEW_EDGES
+        to = stored(e.coalesce(1).mapInPandas(_joined, f"u {kind}, to {kind}") if few else to, f"{here}/r{k}")
+        renamed = None if few else (
             e.join(to, "u").select(F.col("to").alias("a"), "v")
             .join(to.select(F.col("u").alias("v"), F.col("to").alias("b")), "v")
             .where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
@@ -40,8 +67,11 @@ def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
             step = to.select(F.col("u").alias("root"), F.col("to").alias("next"))
             named = stored(named.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), f"{here}/n{k}")
             over, at = [f"{here}/e{k}", f"{here}/r{k}", at], f"{here}/n{k}"
-        e = stored(renamed, f"{here}/e{k + 1}")
+        if renamed is not None:
+            e = stored(renamed, f"{here}/e{k + 1}")
         remove(spark, *over)  # nothing reads these any more
+        if renamed is None:
+            break
         k += 1
     if named is None:
         return spark.createDataFrame([], f"node {kind}, root {kind}")

@@ -47,6 +47,8 @@ SPREAD = 0.7
 #: Pivots in a description, and how many of them a pair must share.
 NEAREST, SHARED = 7, 3
 BLOCK = 1024
+#: Cells of at most SMALL rows are compared pair by pair, many cells and some PAIRS of them at once; larger ones as matrices.
+SMALL, PAIRS = 64, 1 << 15
 #: Lists are numbered in this base.
 BASE = 1 << 20
 
@@ -138,27 +140,141 @@ CELL = ["label", "size", "list", "cell_i", "cell_j"]
 MEMBER = "label long, size int, list long, cell_i int, cell_j int, block int, node long, order array<int>"
 
 
-def by_cell(rows: DataFrame, one: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """What `one` makes of the rows of each cell that has two or more."""
+def by_cell(rows: DataFrame, work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None], schema: str) -> DataFrame:
+    """What `work` makes of many whole cells at once: their rows, and the places where cells begin and where the last one ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            marks = pdf[CELL].to_numpy()
-            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
-            found = [out for lo, hi in zip(edges[:-2], edges[1:-1]) if hi - lo > 1 and (out := one(pdf.iloc[lo:hi])) is not None]
-            if found:
-                yield pd.concat(found, ignore_index=True)
+            edges = edges_of(pdf, CELL)
+            if edges[-2] and (out := work(pdf.iloc[: edges[-2]], edges[:-1])) is not None:
+                yield out
             held = pdf.iloc[edges[-2] :]  # the last cell may go on in the next batch
-        if held is not None and len(held) > 1 and (out := one(held)) is not None:
+        if held is not None and len(held) > 1 and (out := work(held, np.array([0, len(held)]))) is not None:
             yield out
 
     return rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(run, schema)
 
 
-def _candidates_of(cell: pd.DataFrame) -> np.ndarray:
-    return candidates(np.stack(cell["order"].to_numpy()), int(cell["list"].iat[0]), cell["block"].to_numpy(), cell["cell_i"].iat[0] != cell["cell_j"].iat[0])
+def edges_of(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Where runs of rows that agree in the columns begin, and where the last one ends."""
+    marks = pdf[columns].to_numpy()
+    return np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, [len(pdf)]])
+
+
+def small_pairs(edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b), a < b: the pairs of all cells of at most SMALL rows, some PAIRS at once."""
+    sizes = np.diff(edges)
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        starts = edges[:-1][sizes == n]
+        step = max(1, PAIRS // len(i))
+        for at in range(0, len(starts), step):
+            some = starts[at : at + step, None]
+            yield (some + i).ravel(), (some + j).ravel()
+
+
+class Cells:
+    """Whole cells of vectors of one size, as arrays; says which pairs are candidates."""
+
+    def __init__(self, pdf: pd.DataFrame, edges: np.ndarray):
+        self.edges = edges
+        self.order = np.concatenate(pdf["order"].to_numpy()).reshape(len(pdf), -1)
+        self.list, self.block = pdf["list"].to_numpy(), pdf["block"].to_numpy()
+        self.crossed = (pdf["cell_i"] != pdf["cell_j"]).to_numpy()
+        self.every = self.order.shape[1] < SHARED
+        whole = self.order.astype(np.int32)
+        # a column a pivot, for long runs of equal comparisons; pivots beyond the list's greatest aren't counted
+        self.theirs, self.own = np.ascontiguousarray(whole.T), np.ascontiguousarray(np.where(whole <= (self.list % BASE)[:, None], whole, -1).T)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(a, b): the candidates in small cells, as `candidates` finds them."""
+        for a, b in small_pairs(self.edges):
+            ok = ~self.crossed[a] | (self.block[a] != self.block[b])
+            if not self.every:
+                n = np.zeros(len(a), np.int8)
+                theirs = [row[b] for row in self.theirs]
+                for row in self.own:
+                    mine = row[a]
+                    for other in theirs:
+                        n += mine == other
+                ok &= n == SHARED
+            if ok.any():
+                yield a[ok], b[ok]
+
+    def large(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """(rows, booleans of `candidates`) of each larger cell."""
+        for lo, hi in zip(self.edges[:-1].tolist(), self.edges[1:].tolist()):
+            if hi - lo > SMALL:
+                yield slice(lo, hi), candidates(self.order[lo:hi], int(self.list[lo]), self.block[lo:hi], bool(self.crossed[lo]))
+
+
+def by_size(work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None]) -> Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None]:
+    """`work` for cells of any sizes of vectors: once for each run of cells of one label and size."""
+
+    def run(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame | None:
+        if pdf["size"].iat[0] == pdf["size"].iat[-1] and (pdf["size"] == pdf["size"].iat[0]).all():
+            return work(pdf, edges)
+        cuts = edges_of(pdf, ["size"])
+        found = [out for lo, hi in zip(cuts[:-1], cuts[1:]) if (out := work(pdf.iloc[lo:hi], edges[(edges >= lo) & (edges <= hi)] - lo)) is not None]
+        return pd.concat(found, ignore_index=True) if found else None
+
+    return run
+
+
+def retrieved(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame | None:
+    """The rows that have a candidate in their cell."""
+    cells_, some = Cells(pdf, edges), np.zeros(len(pdf), bool)
+    for a, b in cells_.pairs():
+        some[a] = some[b] = True
+    for rows, found in cells_.large():
+        some[rows] = found.any(axis=1)
+    return pdf[some] if some.any() else None
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of pairs that connect what all pairs connect."""
+    parent: dict[int, int] = {}
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        while (up := parent.get(y, y)) != y:
+            parent[y] = y = parent.get(up, up)
+        if x != y:
+            parent[y] = x
+            out.append(k)
+    return out
+
+
+def found_links(pdf: pd.DataFrame, edges: np.ndarray, threshold: float) -> pd.DataFrame | None:
+    """(u, v, n) of the cells: spanning links, and with v = -1 the copies of what u is linked with."""
+    cells_, node, copies = Cells(pdf, edges), pdf["node"].to_numpy(), pdf["copies"].to_numpy()
+    x = np.concatenate(pdf["unit"].to_numpy()).reshape(len(pdf), -1)
+    others, us, vs = np.zeros(len(pdf), np.int64), [], []
+    for a, b in cells_.pairs():
+        step = max(1, (1 << 21) // x.shape[1])
+        near = np.concatenate([np.einsum("ij,ij->i", x[a[at : at + step]], x[b[at : at + step]]) >= threshold for at in range(0, len(a), step)])
+        a, b = a[near], b[near]
+        np.add.at(others, a, copies[b])
+        np.add.at(others, b, copies[a])
+        kept = forest(a, b)
+        us.append(node[a[kept]])
+        vs.append(node[b[kept]])
+    for rows, found in cells_.large():
+        near = verified(found, x[rows], threshold)
+        others[rows] = near @ copies[rows]
+        links = np.array(spanning(near), np.int64).reshape(-1, 2)
+        us.append(node[rows][links[:, 0]])
+        vs.append(node[rows][links[:, 1]])
+    some = others > 0
+    if not some.any():
+        return None
+    us.append(node[some])
+    zeros = np.zeros(sum(map(len, vs)), np.int64)
+    vs.append(np.full(some.sum(), -1))
+    return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "n": np.concatenate([zeros, others[some]])})
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,22 +315,12 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     listed = members.select("node", "label", "size", "order", F.explode("lists").alias("list"))
     dealt = cells(listed, ["label", "size", "list"], F.xxhash64("node"), BLOCK)
 
-    def retrieve(cell: pd.DataFrame) -> pd.DataFrame | None:
-        some = _candidates_of(cell).any(axis=1)
-        return cell[some] if some.any() else None
-
-    def verify(cell: pd.DataFrame) -> pd.DataFrame | None:
-        near = verified(_candidates_of(cell), np.stack(cell["unit"].to_numpy()), threshold)
-        some = near.any(axis=1)
-        if not some.any():
-            return None
-        node, others = cell["node"].to_numpy(), near @ cell["copies"].to_numpy()
-        links = np.array(spanning(near))
-        return pd.DataFrame({"u": np.concatenate([node[links[:, 0]], node[some]]), "v": np.concatenate([node[links[:, 1]], np.full(some.sum(), -1)]), "n": np.concatenate([np.zeros(len(links), np.int64), others[some]])})
+    def verify(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame | None:
+        return found_links(pdf, edges, threshold)
 
     columns = [c.split()[0] for c in MEMBER.split(", ")]
-    met = stored(by_cell(dealt.select(*columns), retrieve, MEMBER))
-    return by_cell(met.join(members.select("node", "copies", "unit"), "node").select(*columns, "copies", "unit"), verify, "u long, v long, n long")
+    met = stored(by_cell(dealt.select(*columns), by_size(retrieved), MEMBER))
+    return by_cell(met.join(members.select("node", "copies", "unit"), "node").select(*columns, "copies", "unit"), by_size(verify), "u long, v long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,21 @@ def test_components_match_union_find(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 40, None])
+def test_few_edges_are_joined_without_rounds(spark, monkeypatch, few):
+    """A chain, a star and a pair: the same components by rounds alone, by both, and in one task, which stores two tables."""
+    from lodestitch.llm import _common
+
+    if few is not None:
+        monkeypatch.setattr(_common, "FEW_EDGES", few)
+    kept = []
+    monkeypatch.setattr(_common, "stored", lambda *a: kept.append(1) or stored(*a))
+    edges = [(b"%03d" % a, b"%03d" % b) for a, b in [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 130)] + [(200, 201), (201, 200), (300, 300)]]
+    got = {bytes(r.node): bytes(r.root) for r in components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges], "u binary, v binary"), "binary").collect()}
+    assert len(got) == 61 + 30 + 2 and all(got[a] == got[b] for a, b in edges if a != b) and len(set(got.values())) == 3
+    assert len(kept) == 2 if few is None else len(kept) > 2
+
+
 def test_any_two_rows_of_a_key_meet_in_one_cell(spark):
     rows = spark.createDataFrame([(1, k) for k in range(90)] + [(2, 1)], "key long, id long")
     got = cells(rows, ["key"], F.xxhash64("id"), 20).collect()
@@ -517,6 +533,35 @@ def test_cells_of_the_index_take_a_pair_once():
     assert ((met == 1) == ((shared >= 3) & ~np.eye(40, dtype=bool))).all() and met.max() == 1
 
 
+def test_small_and_large_cells_of_the_index_agree_with_their_matrices():
+    """Cells of 1 to 90 rows in one call, whole and crossed, against `candidates` and `verified` cell by cell."""
+    rng = np.random.default_rng(5)
+    rows, edges, want = [], [0], []
+    for c, n in enumerate([1, 2, 2, 3, 7, 64, 65, 90, 1, 5]):
+        key = int(embedding_neardup.list_keys(np.array([[1, 4, 6]])).item())
+        order = np.array([rng.permutation([1, 4, 6, *rng.choice([0, 2, 3, 5, 7, 8, 9, 10], 4, replace=False)]) for _ in range(n)])
+        unit = embedding_neardup.unit(np.repeat(rng.normal(size=(2, 8)), [n // 2, n - n // 2], axis=0) + rng.normal(size=(n, 8)) * 0.1)
+        block, node, copies = rng.integers(0, 2, n), np.arange(n) + edges[-1], rng.integers(1, 4, n)
+        found = embedding_neardup.candidates(order, key, block, bool(c % 2))
+        near = embedding_neardup.verified(found, unit, 0.98)
+        want.append((node, found.any(axis=1), near, near @ copies))
+        rows += [(0, 8, key, 0, c % 2, *r) for r in zip(block, node, list(order), copies, list(unit))]
+        edges.append(edges[-1] + n)
+    pdf = pd.DataFrame(rows, columns=["label", "size", "list", "cell_i", "cell_j", "block", "node", "order", "copies", "unit"])
+    got = embedding_neardup.retrieved(pdf, np.array(edges))
+    assert got["node"].tolist() == [int(v) for node, some, _, _ in want for v in node[some]]
+    out = embedding_neardup.found_links(pdf, np.array(edges), 0.98)
+    assert dict(out[out.v < 0][["u", "n"]].to_numpy().tolist()) == {int(a): int(k) for node, _, _, n in want for a, k in zip(node, n) if k}
+    spans = out[out.v >= 0][["u", "v"]].to_numpy().tolist()
+    whole = {(int(node[a]), int(node[b])) for node, _, near, _ in want for a, b in zip(*np.nonzero(near))}
+    assert {tuple(x) for x in spans} <= whole and len(spans) < len(whole) / 4
+    root = {int(v): int(v) for v in pdf["node"]}
+    for u, v in spans:
+        u, v = root[u], root[v]
+        root = {k: u if r == v else r for k, r in root.items()}
+    assert all(root[u] == root[v] for u, v in whole)  # the spanning links join all that is linked
+
+
 def rows_like(v):
     return [float(a) for a in v]
 
