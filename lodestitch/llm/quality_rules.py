@@ -84,7 +84,8 @@ def _target(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the trusted documents."""
     masks = bloom_filter(ids, F.col("id"), FILTER_WORDS)
     own = docs.select(F.col("doc_id").alias("id"), "text")
-    return own.where(F.col("id").isNotNull() & may_contain(masks, F.col("id"), FILTER_WORDS)).join(ids, "id", "left_semi")
+    # texts are exchanged at every size, so that disk follows the input: a small table would else be broadcast, a larger one not
+    return own.where(F.col("id").isNotNull() & may_contain(masks, F.col("id"), FILTER_WORDS)).join(ids.hint("merge"), "id", "left_semi")
 
 
 def left_out(text: Column) -> Column:
@@ -111,16 +112,17 @@ def _surplus(docs: DataFrame) -> DataFrame:
     # as in `judge`, a term that is always true keeps filters above the projections of `sampled`
     known = may_contain(bloom_filter(shared, F.col("key"), FILTER_WORDS), F.xxhash64("least", "most"), FILTER_WORDS) & (F.monotonically_increasing_id() >= 0)
     again = rows.withColumn("again", known).where("again")
-    return again.join(shared, ["least", "most"]).select("text", (F.floor(F.lit(ONE) / F.col("group")) - ONE).cast("bigint").alias("n"))
+    return again.join(shared.hint("merge"), ["least", "most"]).select("text", (F.floor(F.lit(ONE) / F.col("group")) - ONE).cast("bigint").alias("n"))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, leave_out: bool = False) -> DataFrame:
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, leave_out: bool = False, target: DataFrame | None = None) -> DataFrame:
     """(bucket, weight), every bucket: the logarithm of the trusted documents' probability over the raw corpus's.
 
-    trusted: (doc_id) of the trusted documents; ids may repeat. leave_out: not the left-out ones of them.
+    trusted: (doc_id) of the trusted documents; ids may repeat. leave_out: not the left-out ones of them. target: their
+    (id, text), if these are stored already.
     """
-    target = _target(docs, _ids(trusted))
-    target = stored(target.where(~left_out(F.col("text"))) if leave_out else target)
+    target = stored(_target(docs, _ids(trusted))) if target is None else target
+    target = target.where(~left_out(F.col("text"))) if leave_out else target
     one, none = F.lit(ONE).cast("bigint"), F.lit(0).cast("bigint")
     parts = [
         docs.select("text", one.alias("raw"), none.alias("own")), _surplus(docs).select("text", F.col("n").alias("raw"), none.alias("own")),
@@ -180,9 +182,9 @@ def mean_weight(table: Column, buckets: int) -> Column:
     return total / F.greatest(2 * F.size("__hashes"), F.lit(1))
 
 
-def placed(docs: DataFrame, trusted: DataFrame, table: Column, buckets: int = BUCKETS) -> float:
-    """The threshold: what all but LOST of the left-out trusted documents reach, less MARGIN, and THRESHOLD at most."""
-    out = worded(_target(docs, _ids(trusted)).where(left_out(F.col("text")))).where(F.size("__words") >= MIN_WORDS)
+def placed(target: DataFrame, table: Column, buckets: int = BUCKETS) -> float:
+    """The threshold: what all but LOST of the left-out trusted documents (id, text) reach, less MARGIN, and THRESHOLD at most."""
+    out = worded(target.where(left_out(F.col("text")))).where(F.size("__words") >= MIN_WORDS)
     low = out.select(mean_weight(table, buckets).alias("llr")).agg(F.percentile_approx("llr", LOST, 10_000)).first()[0]
     return THRESHOLD if low is None else min(THRESHOLD, low - MARGIN)
 
@@ -201,8 +203,9 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def _judged(docs: DataFrame, trusted: DataFrame, threshold: float | None) -> tuple[Column, float]:
     """(weights, threshold) over docs (doc_id, text); a threshold of None is placed."""
-    table = constant(weights(docs, trusted, leave_out=True))
-    return table, placed(docs, trusted, table) if threshold is None else threshold
+    target = stored(_target(docs, _ids(trusted)))  # once for both, so that these texts are exchanged once
+    table = constant(weights(docs, trusted, leave_out=True, target=target))
+    return table, placed(target, table) if threshold is None else threshold
 
 
 def quality(docs: DataFrame, trusted: DataFrame, threshold: float | None = None) -> DataFrame:

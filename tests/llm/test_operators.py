@@ -415,6 +415,19 @@ def test_llr_and_kept_equal_a_plain_model(spark):
     assert {r.kept for r in judged} == {True, False}
 
 
+def test_texts_are_exchanged_once_and_alike_at_any_size(spark, monkeypatch):
+    """A small input must not be broadcast where a large one is exchanged, and trusted texts are found once for both uses."""
+    texts = [" ".join(f"t{(k * j) % 71}" for k in range(80)) for j in range(1, 20)]
+    rows = docs(spark, list(enumerate(texts + texts[:4]))).select("doc_id", "text")
+    trusted = spark.createDataFrame([(k,) for k in range(12)], "doc_id long")
+    for df in (quality_rules._target(rows, quality_rules._ids(trusted)), quality_rules._surplus(rows)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    calls, find = [], quality_rules._target
+    monkeypatch.setattr(quality_rules, "_target", lambda *a: calls.append(1) or find(*a))
+    assert quality_rules.quality(rows, trusted).count() == 23 and len(calls) == 1
+
+
 def test_samples_are_shared_by_copies_and_by_near_copies(spark):
     base = [f"w{k}" for k in range(100)]
     near = [" ".join(base[:at] + ["changed"] + base[at + 1 :]) for at in range(100)]
