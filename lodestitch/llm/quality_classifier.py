@@ -35,7 +35,7 @@ from ._common import stored
 
 #: Labelled rows that are learned from at most.
 SAMPLE = 4000
-#: Bytes of their features that the driver holds at most.
+#: Bytes of their features that the task that learns holds at most.
 SAMPLE_BYTES = 32_000_000
 BUCKETS = 1 << 17
 #: Lengths of the character n-grams.
@@ -145,7 +145,7 @@ _SCORERS: dict[str, Scorer] = {}
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, usable: Column | None = None, most_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Learn from at most `sample` labelled rows, and `most_bytes` of features, among those `usable` that have a document; None if there is none.
 
-    Only that bounded sample of labels is broadcast, and only its features come to the driver.
+    Only that bounded sample of labels is broadcast; its features meet in one task, and the driver gets the model alone.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label).alias("y")).where("id is not null and y is not null")
@@ -169,9 +169,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     size = dict(found.select("id", F.length("rows") + F.length("counts")).collect())
     spent = np.cumsum([size[r["id"]] for r in drawn])
     taken = [r["id"] for k, r in enumerate(drawn) if not k or spent[k] <= most_bytes]
-    # bytes, read in place: the sample is held once on the driver
-    got = sorted(found.join(F.broadcast(spark.createDataFrame([(i,) for i in taken], "id long")), "id", "left_semi").collect(), key=lambda r: r["id"])
-    return train([np.frombuffer(r["rows"], np.int32) for r in got], [np.frombuffer(r["counts"], np.float32) for r in got], np.array([r["y"] for r in got]))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(batches), ignore_index=True).sort_values("id")
+        model = train([np.frombuffer(r, np.int32) for r in got["rows"]], [np.frombuffer(c, np.float32) for c in got["counts"]], got["y"].to_numpy())
+        yield pd.DataFrame({"labels": [model.labels], "weights": [model.weights.tobytes()], "bias": [model.bias.tobytes()]})
+
+    # one task learns: the features would else pass the driver, as bytes and as rows
+    bounded = found.join(F.broadcast(spark.createDataFrame([(i,) for i in taken], "id long")), "id", "left_semi").coalesce(1)
+    r = bounded.mapInPandas(learn, "labels array<int>, weights binary, bias binary").first()
+    return Model(list(r["labels"]), np.frombuffer(r["weights"], np.float32).reshape(BUCKETS, -1), np.frombuffer(r["bias"], np.float64))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", positive: int = 1) -> Column:

@@ -74,6 +74,20 @@ def test_few_edges_are_joined_without_rounds(spark, monkeypatch, few):
     assert len(kept) == 2 if few is None else len(kept) > 2
 
 
+def test_classifier_learns_outside_the_driver(spark, monkeypatch):
+    import os
+
+    good = "the committee published its yearly report on water quality in rural districts"
+    rows = docs(spark, [(k, f"{good} {k}" if k % 2 else f"buy cheap pills now {k}") for k in range(40)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    model = quality_classifier.fit(rows, labels)
+    found = [quality_classifier.text_features(r.text) for r in sorted(rows.collect())]
+    want = quality_classifier.train([f[0] for f in found], [f[1] for f in found], np.arange(40) % 2)
+    assert model.labels == want.labels and np.allclose(model.weights, want.weights, atol=1e-6) and np.allclose(model.bias, want.bias, atol=1e-6)
+    monkeypatch.setattr(quality_classifier, "train", lambda *a: quality_classifier.Model([0, 1], np.zeros((quality_classifier.BUCKETS, 2), np.float32), np.array([float(os.getpid()), 0.0])))
+    assert quality_classifier.fit(rows, labels).bias[0] != os.getpid()
+
+
 def test_any_two_rows_of_a_key_meet_in_one_cell(spark):
     rows = spark.createDataFrame([(1, k) for k in range(90)] + [(2, 1)], "key long, id long")
     got = cells(rows, ["key"], F.xxhash64("id"), 20).collect()
