@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestitch.functions import indic, similarity, text
-from lodestitch.functions.unicode import fold, pattern
+from lodestitch.functions.unicode import fold, pattern, quick
 from lodestitch.operators.represent import canonical, canonical_view
 from lodestitch.plans import fixtures
 
@@ -78,3 +78,18 @@ def test_legal_rules_match_python(spark, t):
 
 def test_patterns_know_boundaries_next_to_marks():
     assert "(?iu)" in pattern(r"\b") and unicodedata.category("ि") == "Mc"
+
+
+def test_canonical_view_evaluates_each_rule_once(spark, tiny):
+    from lodestitch.plans import linkage
+
+    plan = canonical_view(linkage.corpus(spark, tiny).records)._jdf.queryExecution().optimizedPlan().treeString()
+    assert plan.count("regexp_replace(") < 200
+
+
+def test_quick_rules_have_the_matches_of_plain_ones(spark):
+    rows = spark.createDataFrame([(t,) for t in ["a pvt. ltd. b", "co & co. l.l.c.x", "s.a. s.a.s. xsa sa_", "st.st opp. bu\u0131ld", "\u017fa inc\u0131", "12 1er 2\u00e8me 126 e la 5th", "b.p. 5 bp. xbp", "gmbh ag", "", "x1er"]], "t string")
+    rules = [(r, "") for r, _ in (*text.LEGAL_FORMS, *text.ABBREVIATIONS)] + [(text.BOX, ""), (text.LANDMARK, ""), (text.CEDEX, "cC"), (text.ORDINAL, "0-9"), (text.PIN, "0-9")]
+    got = rows.select(*[F.regexp_replace("t", quick(r, f), "<$1>" if "([0-9]+)" in r or "([1-9]" in r else "<>") for r, f in rules]).collect()
+    want = rows.select(*[F.regexp_replace("t", pattern(r), "<$1>" if "([0-9]+)" in r or "([1-9]" in r else "<>") for r, _ in rules]).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
